@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def held_out(doc_id: Column | str, of: int) -> Column:
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` characters of ``column`` each, at least one row."""
-    sizes, start, total = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
+    sizes, start, total = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
             yield batch.slice(start, i - start)
