@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, secrets, simhash, topk
+from . import bpe, language, lattice, secrets, simhash, topk, toxicity
 from .common import held_out, table
 
 
@@ -25,6 +25,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, held_out("doc_id", 4).alias("held_out"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, model, held_out("doc_id", 4).alias("held_out"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -34,7 +44,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_simhash, op4_language_id, op9_exact_topk, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_simhash, op4_language_id, op6_embedding_dedup, op7_toxicity, op9_exact_topk, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
