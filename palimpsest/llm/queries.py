@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lattice, lm, packing, secrets, simhash, topk, toxicity
+from . import bpe, language, lattice, lm, packing, repeats, secrets, simhash, topk, toxicity
 from .common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, held_out("doc_id", 4).alias("held_out"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +56,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_simhash, op4_language_id, op6_embedding_dedup, op7_toxicity, op8_lm_score, op9_exact_topk, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_simhash, op4_language_id, op5_suffix_dedup, op6_embedding_dedup, op7_toxicity, op8_lm_score, op9_exact_topk, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
