@@ -108,4 +108,7 @@ def line_diff(old: Column | str, new: Column | str) -> Column:
 
 def counted(ops: Column) -> Column:
     """Steps of each type as a struct."""
-    return F.struct(*[F.size(F.filter(ops, lambda o, t=t: o["type"] == t)).cast("long").alias(f"n_{t}") for t in ("equal", "change", "remove", "add")])
+    def of(kind: str) -> Column:
+        return F.size(F.filter(ops, lambda o: o["type"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return F.struct(*map(of, ("equal", "change", "remove", "add")))

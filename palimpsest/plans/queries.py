@@ -340,9 +340,9 @@ def search_union(s, d):
     return _long(out, "rank")
 
 
-@query("select page_id, url from pages where contains(lower(url), 's1') or contains(replace(replace(lower(url), '_', ''), '-', ''), 's1')")
+@query("select page_id, url from pages where contains(lower(url), 'page') or contains(replace(replace(lower(url), '_', ''), '-', ''), 'page')")
 def endpoint_search(s, d):
-    return table(s, d, "pages").filter(search.matches(["url"], "s1", normalized=["url"])).select("page_id", "url")
+    return table(s, d, "pages").filter(search.matches(["url"], "page", normalized=["url"])).select("page_id", "url")
 
 
 @query("select lang, doc_id, n_chars, rank from (select lang, doc_id, n_chars, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from documents) where rank <= 3")
