@@ -198,11 +198,11 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(w for b in batches for w in b.column("w").to_pylist())
-        held.value.model.train(np.array(got, np.int64).reshape(len(got), -1))
+        held.value.model.train(np.array(got, np.int64).reshape(-1, WINDOW + 1))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held.value.model)], pa.binary())], names=["model"])
 
     trained = sample.mapInArrow(windows, "w array<int>").coalesce(1).mapInArrow(fit, "model binary").first()
-    scorer.model = pickle.loads(trained["model"])
+    scorer.model = pickle.loads(trained["model"]) if trained else scorer.model
     held = spark.sparkContext.broadcast(scorer)
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:

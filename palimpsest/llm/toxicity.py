@@ -214,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model([t for _, _, t in got], np.array([y for _, y, _ in got], int)))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    learned = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else Model([], np.zeros(0, int))
 
 
 def predict(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
