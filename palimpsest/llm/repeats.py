@@ -27,6 +27,8 @@ from .suffixes import Suffixes, least_in, mix, prefixes, slices, windows
 LENGTH, GRAM = 400, 64
 #: Different contexts of one gram that are sorted in one task; grams with more are counted by windows.
 TOGETHER = 500
+#: Contexts of such grams in one task, and the most tasks for all of them.
+SPREAD, MOST_TASKS = 256, 100_000
 _PLACE = 28  # bits for a place in a document, below the bits of a gram's hash
 
 
@@ -194,17 +196,13 @@ def spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     results = [light.mapInArrow(compare, "h long, c long, low long, high long"), contexts.filter("n > 1").select("h", "c", "at.low", "at.high")]
     crowded = cuts.filter(F.col("m") > TOGETHER)
     if not crowded.isEmpty():
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h, c, low = (batch.column(x).to_numpy() for x in ("h", "c", "low"))
-                for i, data in enumerate(_binary(batch.column("bytes"))):
-                    w = windows(prefixes(data), length)
-                    o = np.arange(len(w)) + low[i]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), h[i])), pa.array(np.full(len(w), c[i])), pa.array(o), pa.array(w.view(np.int64))], names=["h", "c", "o", "w"])
-
-        each = crowded.select("h", "c", "low", "bytes").mapInArrow(spread, "h long, c long, o long, w long")
-        twice = scratch.save(each.groupBy("h", "o", "w").count().filter("count > 1").select("h", "o", "w"), "twice")
-        results.append(each.join(twice, ["h", "o", "w"]).groupBy("h", "c").agg(F.min("o").alias("low"), F.max("o").alias("high")))
+        tasks = min(MOST_TASKS, -(-crowded.count() // SPREAD))
+        dealt = crowded.select("h", "c", "low", "bytes").repartition(tasks, "c")
+        each = scratch.save(dealt.mapInArrow(lambda batches: _spread(batches, length), "h long, c long, o long, w long, n long, ask boolean"), "each")
+        twice = scratch.save(each.filter("n > 0").groupBy("h", "o", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "o", "w"), "twice")
+        asked = each.filter("ask").select("h", "c", "o", "w").join(twice, ["h", "o", "w"]).select("h", "c", "o")
+        known = each.filter("n = 0").select("h", "c", "o")
+        results.append(asked.union(known).groupBy("h", "c").agg(F.min("o").alias("low"), F.max("o").alias("high")))
     result = results[0]
     for r in results[1:]:
         result = result.union(r)
@@ -215,6 +213,40 @@ def spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     return scratch.save(across.union(within).groupBy("k", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 
 
+def _spread(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Windows of contexts by hash, as far as contexts of other tasks can matter.
+
+    Windows that contexts of the batch share are settled here: a context's first and last of those are rows with
+    n = 0, and it asks only about windows outside them. Each distinct window is one row with its count, 2 at most.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, c, low = (batch.column(x).to_numpy() for x in ("h", "c", "low"))
+        found = [windows(prefixes(data), length) for data in _binary(batch.column("bytes"))]
+        size = np.array([len(w) for w in found])
+        at = np.repeat(np.arange(len(found)), size)
+        w = np.concatenate(found)
+        o = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size) + low[at]
+        key = mix(w + h[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + o.view(np.uint64))
+        _, first, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        local = count[back] > 1
+        from_, to = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
+        np.minimum.at(from_, at[local], o[local])
+        np.maximum.at(to, at[local], o[local])
+        ask = (o < from_[at]) | (o > to[at])
+        n = np.zeros(len(w), np.int64)
+        n[first] = np.minimum(count, 2)
+        keep = ask | (n > 0)
+        settled = np.flatnonzero(from_ <= to)
+        twice = np.concatenate([settled, settled])
+        zero = np.zeros(len(twice), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(h[at[keep]], h[twice])), pa.array(np.append(c[at[keep]], c[twice])), pa.array(np.concatenate([o[keep], from_[settled], to[settled]])), pa.array(np.append(w[keep].view(np.int64), zero)), pa.array(np.append(np.where(n[keep] > 0, n[keep], 1), zero)), pa.array(np.append(ask[keep], zero > 0))],
+            names=["h", "c", "o", "w", "n", "ask"],
+        )
+
+
 def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["k", "t", "anchor", "h", "c", "a", "low", "high"])
 
