@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Classes, the end of a text among them; width, hidden width, window, and the step between windows.
-CLASSES, WIDTH, HIDDEN, WINDOW, STRIDE = 96, 16, 32, 32, 24
+CLASSES, WIDTH, HIDDEN, WINDOW, STRIDE = 80, 16, 16, 32, 28
 _F = np.float32
 
 
@@ -41,7 +41,7 @@ class Attention:
             return (rng.standard_normal(shape) * scale / np.sqrt(shape[0])).astype(_F)
 
         self.p = {"e": draw(CLASSES + 1, WIDTH, scale=3), "at": draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH), "h": draw(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, _F), "u": draw(HIDDEN, WIDTH), "w": draw(WIDTH, CLASSES), "b": np.zeros(CLASSES, _F)}
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, _F), 1)
+        self.past = np.tril(np.ones((WINDOW, WINDOW), _F))
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Logits of the next class at each place of windows of input classes (windows, up to WINDOW)."""
@@ -51,9 +51,12 @@ class Attention:
         flat = z.reshape(m * n, WIDTH)
         q, k, v = ((flat @ p[i]).reshape(m, n, WIDTH) for i in "qkv")
         s = (q * _F(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-        s += self.mask[:n, :n]
+        past = self.past[:n, :n]
+        s -= 50 * (1 - past)
         s -= s.max(2, keepdims=True)
+        np.maximum(s, -30, out=s)  # tiny numbers are slow to work with
         np.exp(s, out=s)
+        s *= past
         s /= s.sum(2, keepdims=True)
         c = s @ v
         y = flat + c.reshape(m * n, WIDTH) @ p["o"]
@@ -143,6 +146,7 @@ class Attention:
             logits, _ = self.forward(x)
             chosen = np.take_along_axis(logits, target[:, :, None], 2)[:, :, 0]
             logits -= (top := logits.max(2, keepdims=True))
+            np.maximum(logits, -80, out=logits)
             np.exp(logits, out=logits)
             value = chosen - top[:, :, 0] - np.log(logits @ np.ones(CLASSES, _F))
             there = inside & (np.arange(WINDOW) >= fresh[:, None])
