@@ -202,16 +202,19 @@ class ByteBPE:
         return _take(self._decimal, ids).tobytes()[:-1]
 
 
-def _narrow(pattern: str):
-    """The public pattern over Latin-1 bytes, with its Unicode classes written out; none for other patterns."""
-    if pattern != public_tokenizers.PATTERN:
-        return None
+def latin(parts: tuple[str, ...]):
+    """findall over Latin-1 bytes for alternatives in which [SLN] stand for the classes of white space, letters, numbers."""
     of = {c: "".join(re.escape(chr(i)) for i in range(256) if regex.match(p, chr(i))) for c, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
-    parts = (" ?[L]+", "'s|'t|'re|'ve|'m|'ll|'d", " ?[N]+", " ?[^SLN]+", "[S]+(?![^S])", "[S]+")
     classes = [re.sub(r"[SLN](?=[SLN\]])", lambda m: of[m[0]], p) for p in parts]
     return re.compile("|".join(classes).encode("latin-1")).findall
 
 
+def _narrow(pattern: str):
+    """The public pattern over Latin-1 bytes; none for other patterns."""
+    parts = (" ?[L]+", "'s|'t|'re|'ve|'m|'ll|'d", " ?[N]+", " ?[^SLN]+", "[S]+(?![^S])", "[S]+")
+    return latin(parts) if pattern == public_tokenizers.PATTERN else None
+
+
 def _ragged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(p) for p in parts], np.int32)
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size, dtype=np.int32) - size, size

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import latin
 from .common import Scratch, chunks, ship
 
 CAPACITY = 2048
 #: Distinct words that a worker keeps, and pieces of one length that are ranked in one go.
-KEEP, RANKED = 600_000, 100_000
+KEEP, RANKED = 800_000, 100_000
+_LOWER = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256))
 _built: dict[int, WordEncoder] = {}
 
 
@@ -37,11 +39,22 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str | bytes, bytes] = {"": b""}
+        # the tokenizer's own split of lower-cased text; Latin-1 texts are composed already
+        self.narrow = latin(("[L]+", "'s|'t|'re|'ve|'m|'ll|'d", "[N]", "[^SLN]+"))
+
+    def _cut(self, text: str | None) -> list[str] | list[bytes]:
+        """Parts of a text that are encoded alone: words of Latin-1 texts, else what lies between spaces."""
+        if not text:
+            return []
+        try:
+            return self.narrow(text.encode("latin-1").translate(_LOWER))
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        units = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        units = [self._cut(t) for t in texts]
         every = set().union(*units)
         new = [u for u in every if u not in self.known]
         if len(self.known) + len(new) > KEEP:
@@ -49,7 +62,8 @@ class WordEncoder:
             new = [u for u in every if u]
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            plain = [u.decode("latin-1") if isinstance(u, bytes) else u for u in part]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
                 self.known[u] = np.array(e.ids, "<u4").tobytes()
         ids = self.known.__getitem__
         for u in units:
