@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
 toxicity: rows that the model calls toxic go. near_duplicates: of each SimHash component the row with the least
-doc_id stays (of rows that share it, one). repeats: repeated 400-byte strings are cut out of the texts. secrets:
+(doc_id, hash of the text) stays, whatever ids other components have. repeats: repeated 400-byte strings are cut out of the texts. secrets:
 spans are masked. packing: texts are packed into sequences of 2048 ids.
 
 Every stage keeps null and empty texts; all but the last return the columns that they were given.
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import packing, repeats, secrets, simhash, toxicity
 from palimpsest.llm.common import Scratch, table
@@ -24,11 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = groups.select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__id"]), "left_semi")
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__again", F.row_number().over(again)).filter("__again = 1").drop("__again").select(docs.columns)
+    return simhash.without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

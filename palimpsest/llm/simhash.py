@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,18 +49,18 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(over.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` and fp, the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 4_000_000):
                 fp = np.array([fingerprint(t, width) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, carry), pa.array(fp.view(np.int64))], names=[*carry, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
 def _syndromes() -> np.ndarray:
@@ -130,6 +130,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
 
 
+def _rooted(by_doc: DataFrame, first: Column, scratch: Scratch) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint; ``first`` is an aggregate of its rows, root names the component."""
+    distinct = scratch.save(by_doc.groupBy("fp").agg(first.alias("first")), "distinct")
+    rows = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
+    dealt = tiled(rows, ["anchor"], "fp", TILE, scratch, "heavy")
+    links = dealt.mapInArrow(_compare, "a long, b long")
+    roots = components(links, scratch, "simhash")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return scratch.save(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id is the least doc_id of a component.
 
@@ -139,18 +150,27 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     """
     scratch = scratch or Scratch(docs.sparkSession)
     by_doc = scratch.save(fingerprints(docs), "fingerprints")
-    distinct = scratch.save(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    rows = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    dealt = tiled(rows, ["anchor"], "fp", TILE, scratch, "heavy")
-    links = dealt.mapInArrow(_compare, "a long, b long")
-    roots = components(links, scratch, "simhash")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.save(rooted, "rooted")
+    rooted = _rooted(by_doc, F.min("doc_id"), scratch)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.save(rooted.join(least, "root").select("fp", "component_id"), "named")
     return by_doc.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One row of each component, all columns: that with the least (doc_id, hash of the text), null ids last.
+
+    Rows are known by hashes of id and text; of rows equal in both, the one with the least hash of all columns stays.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    hashes = F.xxhash64(F.col("doc_id").isNull(), "doc_id"), F.xxhash64("text")
+    by_doc = scratch.save(fingerprints(docs.select("doc_id", "text", hashes[0].alias("k"), hashes[1].alias("t")), carry=("doc_id", "k", "t")), "fingerprints")
+    rooted = _rooted(by_doc, F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "t", "k")), scratch)
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("__k"), F.col("first.t").alias("__t"))
+    row = F.struct(*(docs[c] for c in docs.columns))
+    kept = docs.select(row.alias("__row"), F.xxhash64(*docs.columns).alias("__all"), hashes[0].alias("__k"), hashes[1].alias("__t")).join(first, ["__k", "__t"], "left_semi")
+    return kept.groupBy("__k", "__t").agg(F.min_by("__row", "__all").alias("__row")).select("__row.*")
+
+
 def simhash_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

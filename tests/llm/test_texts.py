@@ -329,3 +329,17 @@ def test_pipeline(spark):
             groups = simhash.near_duplicates(before)
             assert docs.count() == groups.select("component_id").distinct().count()
     assert docs.agg(F.max("length")).first()[0] <= 2048
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline as C
+
+    word = lambda i: " ".join(hashlib.sha256(f"{i} {j}".encode()).hexdigest()[:8] for j in range(30))
+    rows = [(None, word(i), "a") for i in range(20)]  # different texts without ids
+    rows += [(1, word(100), "a"), (1, word(101), "a"), (0, word(101), "a"), (1, word(102), "b")]  # one id, several texts
+    rows += [(None, word(100), "a"), (5, word(103), "a"), (5, word(103), "b"), (None, None, "a"), (None, "", "a"), (7, word(0), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = C.drop_near_duplicates(spark, docs, SF).collect()
+    assert len({plain_fingerprint(r.text) for r in got}) == len(got) == len({plain_fingerprint(t) for _, t, _ in rows}) == 25
+    ids = {r.text: r.doc_id for r in got}
+    assert [ids[word(i)] for i in (0, 1, 100, 101, 102, 103)] == [7, None, 1, 0, 1, 5]
