@@ -16,9 +16,6 @@ from ..functions.code import parse_fields
 from ..operators import canonical, diffing, graph, search, versions
 from ..sources.tables import write_by
 
-#: Answers of a lookup are one item's rows; the API fetches no more than this many of them.
-ROWS = 1000
-
 
 class Catalog:
     """Tables: versions (ITEM_VERSION), endpoints (ENDPOINT), constants, prs and overlays (spec, pr, name, fork, code, action)."""
@@ -83,20 +80,27 @@ class Catalog:
             if over:
                 return {**over.asDict(recursive=True), "code_at": over["code"], "overlaid": True}
             fork = None
-        got = [r.asDict(recursive=True) for r in rows.orderBy("fork_seq", "fork").limit(ROWS).collect()]
+        got = rows.select("spec", "fork", "fork_seq").orderBy("fork_seq", "fork").collect()
         if not got:
             return {"error": f"no item {name}", "suggestions": [r["name"] for r in search.suggestions(self.items, "name", name).collect()]}
         speaks = spec or self._speaks(rows)
-        own = [r for r in got if r["spec"] == speaks]
-        pick = own[-1] if fork is None else next((r for r in own if r["fork"] == fork), None) or next((r for r in got if r["fork"] == fork), None)
+        own = F.col("spec").eqNullSafe(speaks)
+        if fork is None:  # the latest of the source that speaks
+            pick = rows.filter(own).orderBy(F.desc("fork_seq"), F.desc("fork")).first()
+        else:
+            pick = rows.filter(F.col("fork") == fork).orderBy(own.desc(), "fork_seq", "spec").first()
         if pick is None:
             return {"error": f"no version {fork} of {name}", "available": list(dict.fromkeys(r["fork"] for r in got))}
-        return {**pick, "specs": sorted({r["spec"] for r in got}), "versions": [r["fork"] for r in own]}
+        return {**pick.asDict(recursive=True), "specs": sorted({r["spec"] for r in got}), "versions": [r["fork"] for r in got if r["spec"] == speaks]}
+
+    def used_by(self, name: str) -> DataFrame:
+        """Names of all items that refer to an item."""
+        return self.edges.filter(F.col("dst") == name).select("src").distinct()
 
     def lookup_type(self, name: str, fork: str | None = None, spec: str | None = None) -> dict:
         out = self.at(name, fork, spec)
         if "error" not in out and self.edges is not None:
-            out["used_by"] = [r["src"] for r in self.edges.filter(F.col("dst") == name).select("src").distinct().orderBy("src").limit(ROWS).collect()]
+            out["used_by"] = [r["src"] for r in self.used_by(name).orderBy("src").collect()]
         return {k: v for k, v in out.items() if v or v is False or v == 0}
 
     def lookup_endpoint(self, query: str) -> DataFrame:

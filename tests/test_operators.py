@@ -160,3 +160,17 @@ def test_incremental_refresh(spark, tmp_path):
     assert run() == [(1, "x", "s"), (2, "y", "t")]
     put("b.json", [{"pr": 1, "sha": "x", "spec": "s"}, {"pr": 1, "sha": "z", "spec": "s"}])
     assert run() == [(1, "x", "s"), (1, "z", "s"), (2, "y", "t")]
+
+
+def test_lookup_of_an_item_with_very_many_versions_and_users(spark, tmp_path):
+    n = 1100
+    rows = [("a", "T", f"v{i}", i, f"class T:\n    x: uint{i}", []) for i in range(n)]
+    rows += [("consensus-specs", "T", "w", n + 5, "class T:\n    y: int", []), ("consensus-specs", "T", "v3", 3, None, [])]
+    rows += [("a", f"u{i:04}", "v0", 0, "T", ["T"]) for i in range(n)]
+    spark.createDataFrame(rows, "spec string, name string, fork string, fork_seq int, code string, references array<string>").coalesce(1).write.parquet(str(tmp_path / "items"))
+    cat = Catalog(spark, spark.read.parquet(str(tmp_path / "items")), priority={"consensus-specs": 0})
+    last = cat.lookup_type("T", spec="a")
+    assert last["fork"] == f"v{n - 1}" and len(last["versions"]) == n and last["used_by"] == [f"u{i:04}" for i in range(n)]
+    assert cat.lookup_type("T")["fork"] == "w" and cat.lookup_type("T", f"v{n - 1}")["code_at"].endswith(f"uint{n - 1}")
+    assert len(cat.lookup_type("T", "none")["available"]) == n + 1
+    assert cat.diff_type("T", f"v{n - 2}", f"v{n - 1}")["fields_modified"] == ["x"]
