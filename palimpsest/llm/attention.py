@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Classes, the end of a text among them; width, hidden width, window, and the step between windows.
-CLASSES, WIDTH, HIDDEN, WINDOW, STRIDE = 80, 16, 16, 32, 28
+CLASSES, WIDTH, HIDDEN, WINDOW, STRIDE = 96, 16, 32, 32, 16
 _F = np.float32
 
 

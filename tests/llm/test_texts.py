@@ -343,3 +343,15 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     assert len({plain_fingerprint(r.text) for r in got}) == len(got) == len({plain_fingerprint(t) for _, t, _ in rows}) == 25
     ids = {r.text: r.doc_id for r in got}
     assert [ids[word(i)] for i in (0, 1, 100, 101, 102, 103)] == [7, None, 1, 0, 1, 5]
+
+
+def test_every_class_sees_half_a_window():
+    from palimpsest.llm import attention as A
+
+    m, text = A.Attention(), np.random.default_rng(2).integers(0, A.CLASSES - 1, 200)
+    start, stop = np.array([0]), np.array([200])
+    plain = m.log10(text, start, stop)
+    for p in range(40, 100):
+        other = text.copy()
+        other[p - 15] = (other[p - 15] + 1) % (A.CLASSES - 1)
+        assert m.log10(other, start, stop)[p] != plain[p]
