@@ -106,15 +106,17 @@ class Attention:
         np.add.at(g["e"], x.ravel(), dz.reshape(-1, WIDTH))
         return value, g
 
-    def train(self, windows: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.01, seed: int = 6) -> None:
-        """Adam over windows of WINDOW + 1 classes, input and target in one."""
+    def train(self, windows: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.01, seed: int = 6, once: bool = False) -> None:
+        """Adam over windows of WINDOW + 1 classes, input and target in one; ``once`` takes each window in one step."""
         if not len(windows):
             return
         rng = np.random.default_rng(seed)
+        order = rng.permutation(len(windows)) if once else None
+        steps = -(-len(windows) // batch) if once else steps
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            w = windows[rng.integers(0, len(windows), batch)]
+            w = windows[order[(step - 1) * batch : step * batch] if once else rng.integers(0, len(windows), batch)]
             _, grad = self.loss(w[:, :-1], w[:, 1:])
             now = rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5
             for name, g in grad.items():

@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .attention import CLASSES, WINDOW, Attention, classes
-from .common import Scratch, held_out, ship
+from .common import Scratch, chunks, held_out, ship
 from .graph import groups
 
-#: UTF-8 bytes of text in a block, documents whose windows train the attention weights, windows of one of them.
+#: UTF-8 bytes of text in a block, documents whose windows give the attention weights a start, windows of one of them.
 BLOCK, TRAIN, EACH = 8_000_000, 3000, 20
+#: Rate of the steps over all training windows, bytes of text whose windows are mixed for them.
+RATE, MIXED = 0.003, 2_000_000
 #: Weights of attention over subwords and of the words before in the same document; whole-word shares have the rest.
 MIX, RECENT = 0.15, 0.3
 #: Distinct words that a worker keeps the subwords of.
@@ -106,13 +108,15 @@ class Scorer:
         self.of, self.share = classes(counts, end)
         self.model = Attention()
 
-    def windows(self, texts: list[list[int]], each: int = EACH) -> np.ndarray:
-        """Windows of classes to train on, spread over each text; short texts are filled up with ends."""
+    def windows(self, texts: list[list[int]], each: int | None = EACH) -> np.ndarray:
+        """Windows of classes to train on, spread over each text, or all of it without ``each``; short texts are filled up with ends."""
         out = []
         for ids in texts:
             c = np.concatenate([[CLASSES], self.of[np.array(ids + [self.end])]])
             c = np.append(c, np.full(max(0, WINDOW + 1 - len(c)), CLASSES - 1))
-            out += [c[i : i + WINDOW + 1] for i in np.linspace(0, len(c) - WINDOW - 1, min(each, 1 + len(c) // WINDOW)).astype(int)]
+            last = len(c) - WINDOW - 1
+            places = np.append(np.arange(0, last, WINDOW), last) if each is None else np.linspace(0, last, min(each, 1 + len(c) // WINDOW)).astype(int)
+            out += [c[i : i + WINDOW + 1] for i in places]
         return np.array(out)
 
     def score(self, words: list[list[int]], counts: np.ndarray, total: int, docs: list[np.ndarray]) -> np.ndarray:
@@ -149,7 +153,8 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
 
     Null texts count as empty: one end token. Repeated rows count as often as they come, in training too. Documents
     whose crc32(doc_id as text) mod ``fold`` is 2 are held out of all counts and of the attention weights. Those
-    weights are fitted to windows of a hashed sample of about TRAIN training documents; word and subword counts
+    weights start from windows of a hashed sample of about TRAIN training documents; then each task steps over every
+    window of its training documents, and the mean of the tasks' weights counts, by windows. Word and subword counts
     cover every training document. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -205,6 +210,24 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
     scorer.model = pickle.loads(trained["model"]) if trained else scorer.model
     held = spark.sparkContext.broadcast(scorer)
 
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, own, n = _subwords(ranks.value), pickle.loads(pickle.dumps(held.value.model)), 0
+        for batch in batches:
+            for part in chunks(batch, "text", MIXED):
+                w = held.value.windows([[i for x in sub.of(words_of(t)) for i in x] for t in part.column("text").to_pylist()], None)
+                own.train(w, rate=RATE, once=True)
+                n += len(w)
+        if n:
+            flat = np.concatenate([own.p[k].ravel() for k in own.p]).astype(np.float64) * n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, n))], names=["i", "s"])
+
+    sums = source.filter("NOT held_out").select("text").mapInArrow(follow, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")
+    if len(sums):
+        flat, p = (sums.s.to_numpy()[:-1] / sums.s.iloc[-1]).astype(np.float32), scorer.model.p
+        for k, part in zip(p, np.split(flat, np.cumsum([x.size for x in p.values()])[:-1]), strict=True):
+            p[k] = part.reshape(p[k].shape)
+    held = spark.sparkContext.broadcast(scorer)
+
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
         sub, scorer = _subwords(ranks.value), held.value
         place = {w.encode(): i for i, w in enumerate(counts.column("word").to_pylist())}

@@ -355,3 +355,15 @@ def test_every_class_sees_half_a_window():
         other = text.copy()
         other[p - 15] = (other[p - 15] + 1) % (A.CLASSES - 1)
         assert m.log10(other, start, stop)[p] != plain[p]
+
+
+def test_training_windows_cover_every_subword():
+    s = lm.Scorer(np.ones(500), 499)
+    for n in (0, 5, 32, 33, 3000):
+        ids = np.random.default_rng(n).integers(0, 499, n).tolist()
+        w, c = s.windows([ids], None), [*s.of[[*ids, 499]]]
+        assert len(w) == max(1, -(-(n + 1) // 32)) and w[0][1 : n + 2].tolist() == c[:32]
+        assert sorted({*np.concatenate(w[:, 1:]).tolist()}) == sorted(set(c)) and w[-1][-1] == s.of[499]
+    before = {k: x.copy() for k, x in s.model.p.items()}
+    s.model.train(w, once=True)
+    assert all((s.model.p[k] != before[k]).any() for k in ("e", "q", "v", "w"))
