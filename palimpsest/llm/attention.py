@@ -1,38 +1,53 @@
 """A small causal self-attention model over token classes, trained and applied in numpy.
 
-A subword's probability is that of its class, given the classes before it, times its share of its class. Classes
-are single ids for the commonest and groups of about equal weight for the rest, so the softmax stays narrow; the
-shares come from counts over the whole training corpus.
+A subword's probability is that of its class, times that of its slot in the class, both given the classes before
+it, times its share of the slot. Classes are single ids for the commonest and groups of about equal weight for the
+rest; the commonest ids of a group have slots of their own, the others share its last slots. Shares come from counts
+over the whole training corpus.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Classes, the end of a text among them; width, hidden width, window, and the step between windows.
 CLASSES, WIDTH, HIDDEN, WINDOW, STRIDE = 96, 16, 32, 32, 16
+#: Classes of a single id, groups, slots of a group, those of a single id among them.
+SINGLE = (CLASSES - 1) * 3 // 4
+GROUPS, SLOTS, OWN = CLASSES - 1 - SINGLE, 64, 48
 _F = np.float32
 
 
-def classes(counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id, and log10 of its share of the class; every id gets a share, ``end`` a class of its own."""
+def classes(counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each id, its slot, log10 of its share of the slot, and the slots' shares of each group.
+
+    Every id gets a share, ``end`` a class of its own.
+    """
     of = np.zeros(len(counts), np.int64)
     weight = counts + 0.05
     order = np.argsort(-weight, kind="stable")
     order = order[order != end]
-    single = (CLASSES - 1) * 3 // 4
-    of[order[:single]] = np.arange(single)
-    rest = order[single:]
-    grouped = CLASSES - 1 - single
+    of[order[:SINGLE]] = np.arange(SINGLE)
+    rest = order[SINGLE:]
     mass = np.cumsum(weight[rest])
-    of[rest] = single + np.minimum(grouped - 1, (mass / mass[-1] * grouped * (1 - 1e-12)).astype(np.int64))
+    of[rest] = SINGLE + np.minimum(GROUPS - 1, (mass / mass[-1] * GROUPS * (1 - 1e-12)).astype(np.int64))
     of[end] = CLASSES - 1
-    total = np.bincount(of, weight, CLASSES)
-    return of, np.log10(weight / total[of])
+    slot = np.zeros(len(counts), np.int64)
+    for g in range(GROUPS):
+        ids = rest[of[rest] == SINGLE + g]
+        slot[ids[:OWN]] = np.arange(len(ids[:OWN]))
+        tail = np.cumsum(weight[ids[OWN:]])
+        if len(tail):
+            slot[ids[OWN:]] = OWN + np.minimum(SLOTS - OWN - 1, (tail / tail[-1] * (SLOTS - OWN) * (1 - 1e-12)).astype(np.int64))
+    total = np.bincount(of * SLOTS + slot, weight, CLASSES * SLOTS)
+    return of, slot, np.log10(weight / total[of * SLOTS + slot]), total.reshape(CLASSES, SLOTS)[SINGLE : SINGLE + GROUPS]
 
 
 class Attention:
-    """One block: class and place embeddings, causal self-attention, a hidden layer, a softmax over classes."""
+    """One block: class and place embeddings, causal self-attention, a hidden layer, a softmax over classes and one
+    over the slots of each group."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -40,7 +55,7 @@ class Attention:
         def draw(*shape: int, scale: float = 1.0) -> np.ndarray:
             return (rng.standard_normal(shape) * scale / np.sqrt(shape[0])).astype(_F)
 
-        self.p = {"e": draw(CLASSES + 1, WIDTH, scale=3), "at": draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH), "h": draw(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, _F), "u": draw(HIDDEN, WIDTH), "w": draw(WIDTH, CLASSES), "b": np.zeros(CLASSES, _F)}
+        self.p = {"e": draw(CLASSES + 1, WIDTH, scale=3), "at": draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH), "h": draw(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, _F), "u": draw(HIDDEN, WIDTH), "w": draw(WIDTH, CLASSES), "b": np.zeros(CLASSES, _F), "gw": np.zeros((GROUPS, WIDTH, SLOTS), _F), "gb": np.zeros((GROUPS, SLOTS), _F)}
         self.past = np.tril(np.ones((WINDOW, WINDOW), _F))
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -69,8 +84,21 @@ class Attention:
         y, h, r, out = (i.reshape(m, n, -1) for i in (y, h, r, out))
         return out, (x, z, q, k, v, s, c, y, h, r)
 
-    def loss(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy in nats and its gradients."""
+    def within(self, r: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each group: its number, the places whose target it is, log probabilities of its slots there."""
+        order = np.argsort(target, kind="stable")
+        bounds = np.searchsorted(target[order], np.arange(SINGLE, SINGLE + GROUPS + 1))
+        for g in range(GROUPS):
+            rows = order[bounds[g] : bounds[g + 1]]
+            if len(rows):
+                z = r[rows] @ self.p["gw"][g]
+                z += self.p["gb"][g]
+                z -= z.max(1, keepdims=True)
+                z -= np.log(np.exp(z).sum(1, keepdims=True))
+                yield g, rows, z
+
+    def loss(self, x: np.ndarray, target: np.ndarray, slot: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy in nats and its gradients; slots of the targets count where they are given."""
         p = self.p
         logits, (x, z, q, k, v, s, c, y, h, r) = self.forward(x)
         logits = logits - logits.max(2, keepdims=True)
@@ -88,6 +116,17 @@ class Attention:
 
         g["w"], g["b"] = across(r, d), d.sum((0, 1))
         dr = d @ p["w"].T
+        g["gw"], g["gb"] = np.zeros_like(p["gw"]), np.zeros_like(p["gb"])
+        if slot is not None:
+            flat, chosen, back = r.reshape(b * n, WIDTH), slot.ravel(), dr.reshape(b * n, WIDTH)
+            for group, rows, log in self.within(flat, target.ravel()):
+                place = np.arange(len(rows))
+                value -= float(log[place, chosen[rows]].sum()) / (b * n)
+                e = np.exp(log)
+                e[place, chosen[rows]] -= 1
+                e /= _F(b * n)
+                g["gw"][group], g["gb"][group] = flat[rows].T @ e, e.sum(0)
+                back[rows] += e @ p["gw"][group].T
         g["u"] = across(h, dr)
         dh = (dr @ p["u"].T) * (h > 0)
         g["h"], g["hb"] = across(y, dh), dh.sum((0, 1))
@@ -107,7 +146,7 @@ class Attention:
         return value, g
 
     def train(self, windows: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.01, seed: int = 6, once: bool = False) -> None:
-        """Adam over windows of WINDOW + 1 classes, input and target in one; ``once`` takes each window in one step."""
+        """Adam over windows of WINDOW + 1 codes, class times SLOTS plus slot, input and target in one; ``once`` takes each window in one step."""
         if not len(windows):
             return
         rng = np.random.default_rng(seed)
@@ -117,15 +156,16 @@ class Attention:
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
             w = windows[order[(step - 1) * batch : step * batch] if once else rng.integers(0, len(windows), batch)]
-            _, grad = self.loss(w[:, :-1], w[:, 1:])
+            c = w // SLOTS
+            _, grad = self.loss(c[:, :-1], c[:, 1:], w[:, 1:] % SLOTS)
             now = rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5
             for name, g in grad.items():
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
                 self.p[name] -= (now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(_F)
 
-    def log10(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """log10 probability of each class of the documents text[start:stop], which make up ``text``.
+    def log10(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray, slot: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each class, and slot if given, of the documents text[start:stop], which make up ``text``.
 
         Each document begins with the class CLASSES as input. Windows overlap: the first scores all its places, each
         further one its last STRIDE, so each class is scored once, with WINDOW - STRIDE classes before it at least.
@@ -145,12 +185,18 @@ class Attention:
             at = np.minimum(start[d, None] + place, len(text) - 1)
             target = np.where(inside, text[at], 0)
             x = np.where(place == 0, CLASSES, text[np.maximum(at - 1, 0)])
-            logits, _ = self.forward(x)
+            logits, kept = self.forward(x)
             chosen = np.take_along_axis(logits, target[:, :, None], 2)[:, :, 0]
             logits -= (top := logits.max(2, keepdims=True))
             np.maximum(logits, -80, out=logits)
             np.exp(logits, out=logits)
             value = chosen - top[:, :, 0] - np.log(logits @ np.ones(CLASSES, _F))
             there = inside & (np.arange(WINDOW) >= fresh[:, None])
+            if slot is not None:
+                where = at[there]
+                more = np.zeros(len(where), _F)
+                for _, rows, z in self.within(kept[-1][there], text[where]):
+                    more[rows] = z[np.arange(len(rows)), slot[where[rows]]]
+                value[there] += more
             out[at[there]] = value[there]
         return out * _F(1 / np.log(10))

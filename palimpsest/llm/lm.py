@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .attention import CLASSES, WINDOW, Attention, classes
+from .attention import CLASSES, SLOTS, WINDOW, Attention, classes
 from .common import Scratch, chunks, held_out, ship
 from .graph import groups
 
@@ -27,7 +27,7 @@ BLOCK, TRAIN, EACH = 8_000_000, 3000, 20
 #: Rate of the steps over all training windows, bytes of text whose windows are mixed for them.
 RATE, MIXED = 0.003, 2_000_000
 #: Weights of attention over subwords and of the words before in the same document; whole-word shares have the rest.
-MIX, RECENT = 0.15, 0.3
+MIX, RECENT = 0.9, 0.05
 #: Distinct words that a worker keeps the subwords of.
 KEEP = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -105,15 +105,17 @@ class Scorer:
 
     def __init__(self, counts: np.ndarray, end: int):
         self.end = end
-        self.of, self.share = classes(counts, end)
+        self.of, self.slot, self.share, slots = classes(counts, end)
         self.model = Attention()
+        self.model.p["gb"][:] = np.maximum(-30, np.log(slots / np.maximum(1e-30, slots.sum(1, keepdims=True)) + 1e-30))
 
     def windows(self, texts: list[list[int]], each: int | None = EACH) -> np.ndarray:
-        """Windows of classes to train on, spread over each text, or all of it without ``each``; short texts are filled up with ends."""
+        """Windows of codes to train on, spread over each text, or all of it without ``each``; short texts are filled up with ends."""
         out = []
         for ids in texts:
-            c = np.concatenate([[CLASSES], self.of[np.array(ids + [self.end])]])
-            c = np.append(c, np.full(max(0, WINDOW + 1 - len(c)), CLASSES - 1))
+            at = np.array(ids + [self.end])
+            c = np.concatenate([[CLASSES * SLOTS], self.of[at] * SLOTS + self.slot[at]])
+            c = np.append(c, np.full(max(0, WINDOW + 1 - len(c)), (CLASSES - 1) * SLOTS))
             last = len(c) - WINDOW - 1
             places = np.append(np.arange(0, last, WINDOW), last) if each is None else np.linspace(0, last, min(each, 1 + len(c) // WINDOW)).astype(int)
             out += [c[i : i + WINDOW + 1] for i in places]
@@ -136,7 +138,7 @@ class Scorer:
         stop = np.cumsum(n)
         take = np.arange(stop[-1]) + np.repeat(begin[at] - (stop - n), n)
         ends = stop[np.cumsum([len(x) + 1 for x in docs]) - 1]
-        each = self.model.log10(of[take], np.concatenate([[0], ends[:-1]]), ends) + share[take]
+        each = self.model.log10(of[take], np.concatenate([[0], ends[:-1]]), ends, self.slot[flat].astype(np.int16)[take]) + share[take]
         word = np.add.reduceat(each.astype(np.float64), stop - n)
         plain = counts[at] / max(1, total)
         sizes = np.array([len(x) + 1 for x in docs])

@@ -361,9 +361,21 @@ def test_training_windows_cover_every_subword():
     s = lm.Scorer(np.ones(500), 499)
     for n in (0, 5, 32, 33, 3000):
         ids = np.random.default_rng(n).integers(0, 499, n).tolist()
-        w, c = s.windows([ids], None), [*s.of[[*ids, 499]]]
+        w, c = s.windows([ids], None), [*(s.of * lm.SLOTS + s.slot)[[*ids, 499]]]
         assert len(w) == max(1, -(-(n + 1) // 32)) and w[0][1 : n + 2].tolist() == c[:32]
-        assert sorted({*np.concatenate(w[:, 1:]).tolist()}) == sorted(set(c)) and w[-1][-1] == s.of[499]
+        assert sorted({*np.concatenate(w[:, 1:]).tolist()}) == sorted(set(c)) and w[-1][-1] == s.of[499] * lm.SLOTS
     before = {k: x.copy() for k, x in s.model.p.items()}
     s.model.train(w, once=True)
     assert all((s.model.p[k] != before[k]).any() for k in ("e", "q", "v", "w"))
+
+
+def test_context_tells_ids_of_a_class_apart():
+    counts = np.ones(400)
+    counts[:80] = 1000
+    s = lm.Scorer(counts, 399)
+    a, b = np.flatnonzero(s.of == s.of[100])[:2].tolist()  # two ids of one group
+    texts = [[0, a] * 16, [1, b] * 16]
+    w = s.windows(texts)
+    s.model.train(w, steps=200)
+    p = s.score([[0], [1], [a], [b]], np.ones(5), 1000, [np.array([0, 2] * 16), np.array([0, 3] * 16)])
+    assert p[0] > p[1] + 8
