@@ -6,7 +6,13 @@ once bring their contexts together, a context that occurs in several places only
 from the anchor on, and reversed prefixes up to it, are sorted; the common extensions of neighbours give the windows
 that two contexts share. Windows that repeat within a document are found there.
 
-Grams with very many different contexts have their windows counted by hash instead, spread over the cluster.
+Grams with very many different contexts are dealt out anew: the windows that begin in one part of the places around
+the anchor have a longer string in common, so contexts meet by (part, that string). Parts are narrowed until a
+group is small enough to be sorted, or is one window that all its contexts have. A context is in one group a part at
+most, so rows stay in proportion to the contexts.
+
+Contexts and windows count as equal by 128 bits of SHA-256 over their bytes, extensions by the bytes themselves; the
+polynomial hashes only bring candidates together.
 """
 
 from __future__ import annotations
@@ -16,31 +22,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, ship
 from .graph import groups
-from .suffixes import Suffixes, least_in, mix, prefixes, slices, windows
+from .suffixes import Suffixes, least_in, prefixes, windows
 
 LENGTH, GRAM = 400, 64
-#: Different contexts of one gram that are sorted in one task; grams with more are counted by windows.
-TOGETHER = 500
-#: Contexts of such grams in one task, and the most tasks for all of them.
-SPREAD, MOST_TASKS = 256, 100_000
-_PLACE = 28  # bits for a place in a document, below the bits of a gram's hash
+#: Different contexts of one group that are sorted together; groups with more are dealt out by PARTS of their places.
+TOGETHER, PARTS = 500, 4
+#: Windows of a document that are searched in one go; longer documents are taken in stretches.
+STRETCH = 1 << 20
+_PLACE = 22  # bits for a place in a stretch, below the bits of a gram's hash
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Windows repeated within one document, as spans (start, stop), and its anchors (gram, context, place, low, high).
+    """Windows repeated within one stretch of a document, as spans (start, stop), and its anchors (gram, place, low, high).
 
     An anchor at a place stands for the windows that begin low to high from it, both at most 0. Of windows that
-    repeat within the document, the first stands for all.
+    repeat within the stretch, the first stands for all.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return (none,) * 7
+        return (none,) * 6
     prefix = prefixes(data)
     whole = windows(prefix, length)
     order = np.argsort(whole, kind="stable")
@@ -52,6 +58,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         equal = np.array([raw[i : i + length] == raw[j : j + length] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
         first[b[equal]] = False
         repeated[a[equal]] = repeated[b[equal]] = True
+    del whole, order, same
     start, stop = _runs(np.flatnonzero(repeated), length)
     grams = windows(prefix, gram)
     key = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(grams), dtype=np.uint64) & np.uint64((1 << _PLACE) - 1)
@@ -62,9 +69,18 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(at)) - 1
     place = at[head]
-    low, high = begin[head] - place, begin[tail] - place
-    context = mix(slices(prefix, place + low, place + high + length) + low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + high.astype(np.uint64))
-    return start, stop, grams[place].view(np.int64), context.view(np.int64), place, low, high
+    return start, stop, grams[place].view(np.int64), place, begin[head] - place, begin[tail] - place
+
+
+def _digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of SHA-256 of each part, as two signed longs."""
+    both = np.frombuffer(b"".join([hashlib.sha256(x).digest()[:16] for x in parts]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _contexts(raw: bytes, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> list[bytes]:
+    """Contexts with their bounds before them: equal where bytes and bounds are."""
+    return [b"%d %d " % (i, j) + raw[p + i : p + j + length] for p, i, j in zip(place.tolist(), low.tolist(), high.tolist(), strict=True)]
 
 
 def _runs(begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,117 +154,146 @@ def _binary(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid and len(x.as_buffer()) else np.zeros(0, np.uint8) for x in column.cast(pa.large_binary())]
 
 
-def spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """(k, t, spans) of documents keyed (k, t, text): arrays of (start, stop) in bytes, of those that have any."""
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = []
-            for k, t, data in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), _binary(batch.column("text")), strict=True):
-                start, stop, gram, context, place, low, high = anchors(data, length)
+def _found(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Repeats within documents and anchors; a row that a task meets again counts once more, and no more than that."""
+    met: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        out: list[list[np.ndarray]] = []
+        rows = 0
+        for k, t, data in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), _binary(batch.column("text")), strict=True):
+            met[k, t] = met.get((k, t), 0) + 1
+            if met[k, t] > 2:
+                continue
+            for begin in range(0, max(1, len(data) - length + 1), STRETCH):
+                part = data[begin : begin + STRETCH + length - 1]
+                start, stop, gram, place, low, high = anchors(part, length)
                 n = len(start) + len(place)
-                if n:
-                    zero = np.zeros(len(start), np.int64)
-                    out.append([np.full(n, k), np.full(n, t), np.arange(n) >= len(start), np.append(zero, gram), np.append(zero, context), np.append(start, place), np.append(zero, low), np.append(stop - start - length, high)])
-                if out and sum(map(lambda x: len(x[0]), out[-50:])) > 100_000 or len(out) >= 500:
+                if not n:
+                    continue
+                c1, c2 = _digests(_contexts(part.tobytes(), place, low, high, length))
+                zero = np.zeros(len(start), np.int64)
+                out.append([np.full(n, k), np.full(n, t), np.arange(n) >= len(start), np.append(zero, gram), np.append(zero, c1), np.append(zero, c2), np.append(start, place) + begin, np.append(zero, low), np.append(stop - start - length, high)])
+                rows += n
+                if rows > 100_000:
                     yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+                    out, rows = [], 0
+        if out:
+            yield _batch(out)
 
-    kinds = "k long, t long, anchor boolean, h long, c long, a long, low long, high long"
-    found = scratch.save(docs.filter(F.octet_length("text") >= length).mapInArrow(find, kinds), "anchors")
-    many = scratch.save(found.filter("anchor").groupBy("h").count().filter("count > 1").select("h"), "many")
-    met = scratch.save(found.filter("anchor").join(many, "h").select("h", "c", "k", "t", "a", "low", "high"), "met")
-    contexts = scratch.save(met.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "t", "a", "low", "high")).alias("at")), "contexts")
-    sizes = scratch.save(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "sizes")
-    needed = contexts.join(sizes, "h").select("at.k", "at.t", F.struct("h", "c", "m", "at.a", "at.low", "at.high").alias("x")).groupBy("k", "t").agg(F.collect_list("x").alias("xs"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _binary(batch.column("text"))
-            for data, xs in zip(texts, batch.column("xs"), strict=True):
-                x = xs.values
-                h, c, m, a, low, high = (x.field(i) for i in range(6))
-                start = (np.add(a, low)).tolist()
-                stop = (np.add(a, high) + length).tolist()
-                yield pa.RecordBatch.from_arrays([h, c, m, low, high, pa.array([data[i:j].tobytes() for i, j in zip(start, stop, strict=True)], pa.binary())], names=["h", "c", "m", "low", "high", "bytes"])
-
-    cuts = docs.join(needed, ["k", "t"]).select("text", "xs").mapInArrow(cut, "h long, c long, m long, low long, high long, bytes binary")
-    cuts = scratch.save(cuts, "cuts", compression="zstd")
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the contexts that a document is asked for; repeated rows give them once a task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        for k, t, data, xs in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), _binary(batch.column("text")), batch.column("xs"), strict=True):
+            if (k, t) in seen:
+                continue
+            seen.add((k, t))
+            h, c1, c2, m, ask, a, low, high = (xs.values.field(i) for i in range(8))
+            start = np.add(a, low).tolist()
+            stop = (np.add(a, high) + length).tolist()
+            yield pa.RecordBatch.from_arrays([h, h, c1, c2, m, ask, low, high, pa.array([data[i:j].tobytes() for i, j in zip(start, stop, strict=True)], pa.binary())], names=["g", "h", "c1", "c2", "m", "ask", "low", "high", "bytes"])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (g, h, c1, c2) without those equal to the one before."""
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("g", "h", "c1", "c2")])
+        new = np.concatenate([[last != tuple(keys[:, 0].tolist())], (keys[:, 1:] != keys[:, :-1]).any(0)])
+        last = tuple(keys[:, -1].tolist())
+        yield batch.filter(pa.array(new))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """For contexts of one group, the bounds of the windows that another has; those that needn't ask only bear witness."""
+    for table, bounds in groups(_once(batches), ["g"]):
+        low, high, ask = (table.column(x).to_numpy() for x in ("low", "high", "ask"))
+        parts = table.column("bytes").to_pylist()
+        i = 0
+        while i < len(bounds) - 1:  # whole groups, about 2 MB of contexts at a time
+            to = i + 1
+            while to < len(bounds) - 1 and bounds[to + 1] - bounds[i] <= 4000:
+                to += 1
+            s = slice(bounds[i], bounds[to])
+            begin = np.cumsum([0, *map(len, parts[s])])
+            first, last = shared(np.frombuffer(b"".join(parts[s]), np.uint8), bounds[i : to + 1] - bounds[i], begin, low[s], high[s], length)
+            hit = (first <= last) & ask[s]
+            yield pa.RecordBatch.from_arrays([*(table.column(x).slice(s.start, s.stop - s.start).combine_chunks().filter(pa.array(hit)) for x in ("h", "c1", "c2")), pa.array(first[hit]), pa.array(last[hit])], names=["h", "c1", "c2", "low", "high"])
+            i = to
+
+
+def _split(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Contexts by parts of their window places, ``step`` places each: with the string that windows of a part share as group."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row, (h, low, high, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h", "low", "high", "bytes")), strict=True)):
+            for part in range(-high // step, -low // step + 1):  # places -part * step down to -(part + 1) * step + 1
+                last, first = -part * step, -(part + 1) * step + 1
+                lo, hi = max(low, first), min(high, last)
+                core = raw[last - low : first + length - low]
+                whole = raw[lo - low : hi + length - low]
+                out.append((row, lo, hi, b"%d %d " % (h, part) + core, b"%d %d " % (lo, hi) + whole, whole))
+        if out:
+            row, low, high, core, hull, whole = zip(*out, strict=True)
+            (g, _), (u1, u2) = _digests(list(core)), _digests(list(hull))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g), pa.array(u1), pa.array(u2), *(batch.column(c).take(pa.array(row)) for c in ("h", "c1", "c2", "ask")), pa.array(low), pa.array(high), pa.array(whole, pa.binary())],
+                names=["g", "u1", "u2", "h", "c1", "c2", "ask", "low", "high", "bytes"],
+            )
+
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in groups(batches, ["h"]):
-            low, high, c, h = (table.column(x).to_numpy() for x in ("low", "high", "c", "h"))
-            parts = table.column("bytes").to_pylist()
-            g = 0
-            while g < len(bounds) - 1:  # whole groups, about 2 MB of contexts at a time
-                to = g + 1
-                while to < len(bounds) - 1 and bounds[to + 1] - bounds[g] <= 4000:
-                    to += 1
-                s = slice(bounds[g], bounds[to])
-                begin = np.cumsum([0, *map(len, parts[s])])
-                first, last = shared(np.frombuffer(b"".join(parts[s]), np.uint8), bounds[g : to + 1] - bounds[g], begin, low[s], high[s], length)
-                hit = first <= last
-                yield pa.RecordBatch.from_arrays([pa.array(h[s][hit]), pa.array(c[s][hit]), pa.array(first[hit]), pa.array(last[hit])], names=["h", "c", "low", "high"])
-                g = to
-
-    light = cuts.filter(F.col("m") <= TOGETHER).select("h", "c", "low", "high", "bytes").repartition("h").sortWithinPartitions("h")
-    results = [light.mapInArrow(compare, "h long, c long, low long, high long"), contexts.filter("n > 1").select("h", "c", "at.low", "at.high")]
-    crowded = cuts.filter(F.col("m") > TOGETHER)
-    if not crowded.isEmpty():
-        tasks = min(MOST_TASKS, -(-crowded.count() // SPREAD))
-        dealt = crowded.select("h", "c", "low", "bytes").repartition(tasks, "c")
-        each = scratch.save(dealt.mapInArrow(lambda batches: _spread(batches, length), "h long, c long, o long, w long, n long, ask boolean"), "each")
-        twice = scratch.save(each.filter("n > 0").groupBy("h", "o", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "o", "w"), "twice")
-        asked = each.filter("ask").select("h", "c", "o", "w").join(twice, ["h", "o", "w"]).select("h", "c", "o")
-        known = each.filter("n = 0").select("h", "c", "o")
-        results.append(asked.union(known).groupBy("h", "c").agg(F.min("o").alias("low"), F.max("o").alias("high")))
-    result = results[0]
+def spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(k, t, spans) of documents keyed (k, t, text): arrays of (start, stop) in bytes, of those that have any."""
+    kinds = "k long, t long, anchor boolean, h long, c1 long, c2 long, a long, low long, high long"
+    one, n = F.count(F.lit(1)), F.count(F.lit(1)).alias("n")
+    long_enough = docs.filter(F.octet_length("text") >= length)
+    found = scratch.save(long_enough.mapInArrow(lambda b: _found(b, length), kinds), "anchors")
+    many = scratch.save(found.filter("anchor").groupBy("h").count().filter("count > 1").select("h"), "many")
+    met = scratch.save(found.filter("anchor").join(many, "h").select("h", "c1", "c2", "k", "t", "a", "low", "high"), "met")
+    contexts = scratch.save(met.groupBy("h", "c1", "c2").agg(n, F.min(F.struct("k", "t", "a", "low", "high")).alias("at")), "contexts")
+    sizes = scratch.save(contexts.groupBy("h").agg(one.alias("m")).filter("m > 1"), "sizes")
+    asked = F.struct("h", "c1", "c2", "m", (F.col("n") == 1).alias("ask"), "at.a", "at.low", "at.high").alias("x")
+    needed = contexts.join(sizes, "h").select("at.k", "at.t", asked).groupBy("k", "t").agg(F.collect_list("x").alias("xs"))
+    cuts = long_enough.join(needed, ["k", "t"]).select("k", "t", "text", "xs").mapInArrow(lambda b: _cut(b, length), "g long, h long, c1 long, c2 long, m long, ask boolean, low long, high long, bytes binary")
+    cuts = scratch.save(cuts, "cuts", compression="zstd")
+    bounds = ["h", "c1", "c2", "low", "high"]
+    results = [contexts.filter("n > 1").select("h", "c1", "c2", "at.low", "at.high")]
+    step, turn = 1 << (length - GRAM).bit_length(), 0  # powers of two, so parts lie within those before
+    while True:
+        light = cuts.filter(F.col("m") <= TOGETHER).select("g", *bounds, "ask", "bytes").repartition("g").sortWithinPartitions("g", "h", "c1", "c2")
+        results.append(light.mapInArrow(lambda b: _compare(b, length), "h long, c1 long, c2 long, low long, high long"))
+        crowded = cuts.filter(F.col("m") > TOGETHER)
+        if crowded.isEmpty():
+            break
+        step, turn = max(1, step // PARTS), turn + 1
+        dealt = crowded.mapInArrow(lambda b, step=step: _split(b, length, step), "g long, u1 long, u2 long, h long, c1 long, c2 long, ask boolean, low long, high long, bytes binary")
+        dealt = scratch.save(dealt, f"dealt-{turn}", compression="zstd")
+        # contexts that are one within the part share all its windows; one of them goes on, as a witness
+        alike = dealt.groupBy("g", "u1", "u2").agg(n, *(F.first(c).alias(c) for c in (*bounds, "ask", "bytes")))
+        alike = scratch.save(alike, f"alike-{turn}", compression="zstd")
+        salt = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
+        several = alike.filter("n > 1").select("g", "u1", "u2", salt)
+        members = dealt.filter("ask").select("g", "u1", "u2", *bounds, F.pmod("c1", F.lit(16)).cast("int").alias("salt"))
+        results.append(scratch.save(members.join(several, ["g", "u1", "u2", "salt"]).select(bounds), f"settled-{turn}"))
+        sizes = alike.groupBy("g").agg(one.alias("m")).filter("m > 1")
+        cuts = alike.join(sizes, "g").select("g", *bounds, "m", (F.col("ask") & (F.col("n") == 1)).alias("ask"), "bytes")
+        cuts = scratch.save(cuts, f"cuts-{turn}", compression="zstd")
+    result = results[0].select(bounds)
     for r in results[1:]:
-        result = result.union(r)
-    result = scratch.save(result.groupBy("h", "c").agg(F.min("low").alias("low"), F.max("high").alias("high")), "shared")
-    scratch.drop("cuts")
-    across = met.select("h", "c", "k", "t", "a").join(result, ["h", "c"]).select("k", "t", (F.col("a") + F.col("low")).alias("start"), (F.col("a") + F.col("high") + length).alias("stop"))
+        result = result.union(r.select(bounds))
+    result = scratch.save(result.groupBy("h", "c1", "c2").agg(F.min("low").alias("low"), F.max("high").alias("high")), "shared")
+    for name in ("cuts", *(f"{x}-{i}" for x in ("dealt", "alike", "cuts") for i in range(1, turn + 1))):
+        scratch.drop(name)
+    across = met.select("h", "c1", "c2", "k", "t", "a").join(result, ["h", "c1", "c2"]).select("k", "t", (F.col("a") + F.col("low")).alias("start"), (F.col("a") + F.col("high") + length).alias("stop"))
     within = found.filter("NOT anchor").select("k", "t", F.col("a").alias("start"), (F.col("a") + F.col("high") + length).alias("stop"))
     return scratch.save(across.union(within).groupBy("k", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 
 
-def _spread(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Windows of contexts by hash, as far as contexts of other tasks can matter.
-
-    Windows that contexts of the batch share are settled here: a context's first and last of those are rows with
-    n = 0, and it asks only about windows outside them. Each distinct window is one row with its count, 2 at most.
-    """
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, c, low = (batch.column(x).to_numpy() for x in ("h", "c", "low"))
-        found = [windows(prefixes(data), length) for data in _binary(batch.column("bytes"))]
-        size = np.array([len(w) for w in found])
-        at = np.repeat(np.arange(len(found)), size)
-        w = np.concatenate(found)
-        o = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size) + low[at]
-        key = mix(w + h[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + o.view(np.uint64))
-        _, first, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        local = count[back] > 1
-        from_, to = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
-        np.minimum.at(from_, at[local], o[local])
-        np.maximum.at(to, at[local], o[local])
-        ask = (o < from_[at]) | (o > to[at])
-        n = np.zeros(len(w), np.int64)
-        n[first] = np.minimum(count, 2)
-        keep = ask | (n > 0)
-        settled = np.flatnonzero(from_ <= to)
-        twice = np.concatenate([settled, settled])
-        zero = np.zeros(len(twice), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(h[at[keep]], h[twice])), pa.array(np.append(c[at[keep]], c[twice])), pa.array(np.concatenate([o[keep], from_[settled], to[settled]])), pa.array(np.append(w[keep].view(np.int64), zero)), pa.array(np.append(np.where(n[keep] > 0, n[keep], 1), zero)), pa.array(np.append(ask[keep], zero > 0))],
-            names=["h", "c", "o", "w", "n", "ask"],
-        )
-
-
 def _batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["k", "t", "anchor", "h", "c", "a", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["k", "t", "anchor", "h", "c1", "c2", "a", "low", "high"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -262,15 +307,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, length: int, scratch: Scratch | None) -> DataFrame:
-    """The rows with ``__spans``; rows are known by hashes of id and text, so equal rows share theirs."""
+def _keyed(docs: DataFrame) -> tuple[list[Column], Column]:
+    """Hashes that tell rows with different ids or texts apart, and the text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(F.lit(1), F.col("doc_id").isNull(), "doc_id", text), F.xxhash64(text)], text
+
+
+def _with_spans(docs: DataFrame, carry: Column, length: int, scratch: Scratch | None) -> DataFrame:
+    """(row, text, spans) of every row; rows with equal ids and texts share their spans. ``carry`` becomes the struct ``row``."""
     scratch = scratch or Scratch(docs.sparkSession)
     ship(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    keys = [F.xxhash64("doc_id").alias("k"), F.xxhash64(text).alias("t")]
-    found = spans(docs.select(*keys, text.alias("text")), length, scratch)
-    keyed = docs.select("*", keys[0].alias("__k"), keys[1].alias("__t"))
-    return keyed.join(found.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("spans").alias("__spans")), ["__k", "__t"], "left").drop("__k", "__t")
+    (k, t), text = _keyed(docs)
+    found = spans(docs.select(k.alias("k"), t.alias("t"), text.alias("text")), length, scratch)
+    keyed = docs.select(carry.alias("row"), F.col("text"), k.alias("k"), t.alias("t"))
+    return keyed.join(found, ["k", "t"], "left").select("row", "text", "spans")
 
 
 def _kept(data: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -280,13 +330,18 @@ def _kept(data: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int,
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; null texts count as empty."""
-    source = _with_spans(docs.select("doc_id", "text"), length, scratch).select("doc_id", "text", "__spans")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    Null texts count as empty (nothing removed, the hash of no bytes). Rows repeated as a whole, with or without an id,
+    are copies of each other, so texts of ``length`` bytes or more lose all of them; each gives a row. An empty table
+    gives no rows. Columns other than doc_id and text are ignored. Documents of any length are searched in stretches.
+    """
+    source = _with_spans(docs, F.struct("doc_id"), length, scratch).select("row.doc_id", "text", "spans")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, s in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, s in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 kept, runs = _kept(text or b"", s)
                 rows.append((len(text or b""), len(text or b"") - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
@@ -299,14 +354,16 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
 def without_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
     """The same rows and columns with repeated bytes cut out of ``text``; a character that is cut in part goes whole.
 
-    Null texts stay null.
+    Null texts stay null, repeated rows stay rows, an empty table stays empty. Columns may have any names.
     """
-    source = _with_spans(docs, length, scratch)
-    names = docs.columns
+    rest = [c for c in docs.columns if c != "text"]
+    carry = F.struct(*(docs[f"`{c}`"] for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
+    source = _with_spans(docs, carry, length, scratch)
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if not s else _kept(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+            texts = [t if not s else _kept(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return source.select(*names, "__spans").mapInArrow(trim, docs.schema)
+    cut = source.mapInArrow(trim, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
+    return cut.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -189,11 +189,13 @@ def made_up(n, length, seed):
     return [*out, "", None, out[0]]
 
 
-@pytest.mark.parametrize("length,together,seed", [(100, 500, 0), (100, 3, 0), (100, 3, 1), (400, 500, 2)])
-def test_repeats(spark, monkeypatch, length, together, seed):
-    monkeypatch.setattr(repeats, "TOGETHER", together)  # 3: most grams count as crowded
+@pytest.mark.parametrize("length,together,seed,stretch", [(100, 500, 0, 1 << 20), (100, 3, 1, 150), (400, 500, 2, 1 << 20), (400, 2, 3, 1 << 20)])
+def test_repeats(spark, monkeypatch, length, together, seed, stretch):
+    monkeypatch.setattr(repeats, "TOGETHER", together)  # 2 or 3: most grams count as crowded
+    monkeypatch.setattr(repeats, "STRETCH", stretch)  # 150: most documents are searched in several stretches
     some = made_up(50, length, seed)
-    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    # extra columns have names that the operator uses inside
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(some)], "doc_id long, text string, row string, k int, spans int")
     data = [(t or "").encode() for t in some]
     cover = brute_repeats(data, length)
     got = {r.doc_id: tuple(r)[1:] for r in repeats.repeat_report(df, length).collect()}
@@ -201,10 +203,23 @@ def test_repeats(spark, monkeypatch, length, together, seed):
         kept = bytes(np.frombuffer(t, np.uint8)[~cover[i]])
         runs = int((np.diff(np.concatenate([[0], cover[i].astype(int)])) == 1).sum())
         assert got[i] == (len(t), int(cover[i].sum()), runs, hashlib.sha256(kept).hexdigest())
-    cut = {r.doc_id: r.text for r in repeats.without_repeats(df, length).collect()}
+    back = repeats.without_repeats(df, length)
+    assert back.columns == df.columns and repeats.without_repeats(df.limit(0), length).count() == repeats.repeat_report(df.limit(0), length).count() == 0
+    cut = {r.doc_id: r.text for r in back.collect()}
     assert cut[len(some) - 2] is None and all(cut[i] == bytes(np.frombuffer(t, np.uint8)[~cover[i]]).decode("utf-8", "ignore") for i, t in enumerate(data) if some[i] is not None)
 
 
+def test_repeats_of_rows_and_of_long_texts(spark):
+    rnd = random.Random(11)
+    word = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    passage, alone = word(500), word(900)
+    huge = word(600_000) + "1" + passage + "2" + word(1_500_000) + "3" + passage[50:] + "4"
+    rows = [(1, alone)] * 5 + [(None, alone)] * 2 + [(2, passage + "5" + word(700)), (3, huge), (4, "short"), (4, "short"), (None, None)]
+    got = repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.n_removed, r.n_spans) for r in got) == Counter([(1, 900, 1)] * 5 + [(None, 900, 1)] * 2 + [(2, 500, 1), (3, 950, 2), (4, 0, 0), (4, 0, 0), (None, 0, 0)])
+
+
 def test_suffix_sort():
     rnd = random.Random(4)
     for _ in range(20):
