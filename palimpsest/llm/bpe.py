@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, ship
+from .common import chunks, heavy, ship, task
 
 BUCKETS = (2, 3, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
 _BUCKET = [next(b for b in BUCKETS if b >= n) for n in range(BUCKETS[-1] + 1)]
@@ -229,15 +229,9 @@ def _take(ragged: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) ->
     return flat[at]
 
 
-_built: dict[bytes, ByteBPE] = {}
-
-
 def tokenizer(rank_file: bytes, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
     """One per worker and rank file."""
-    key = hashlib.sha256(rank_file + pattern.encode()).digest()
-    if key not in _built:
-        _built[key] = ByteBPE(rank_file, pattern)
-    return _built[key]
+    return heavy(("bpe", hash(rank_file), pattern), lambda: ByteBPE(rank_file, pattern))
 
 
 def encode_documents(docs: DataFrame, rank_path: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -272,4 +266,4 @@ def encode_documents(docs: DataFrame, rank_path: str | None = None, with_ids: bo
                     columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
+    return docs.select("doc_id", "text").mapInArrow(task(run), T.StructType(fields))

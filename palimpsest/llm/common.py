@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -43,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='palimpsest')}"
         spark.sparkContext.setCheckpointDir(there)
         there = spark.sparkContext.getCheckpointDir()
@@ -79,6 +83,37 @@ class Scratch:
                 pass
 
 
+_heavy: dict[object, object] = {}
+
+
+def heavy[X](key: object, build: Callable[[], X]) -> X:
+    """A worker's tokenizer or the like, one at a time: that of an earlier operator goes before the next is built."""
+    if key not in _heavy:
+        _heavy.clear()
+        _heavy[key] = build()
+    return _heavy[key]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def task[**P, Row](run: Callable[P, Iterator[Row]]) -> Callable[P, Iterator[Row]]:
+    """The function of a task, which returns free memory to the system at its end: workers are used again by later stages."""
+    @functools.wraps(run)
+    def go(*args: P.args, **more: P.kwargs) -> Iterator[Row]:
+        try:
+            yield from run(*args, **more)
+        finally:
+            _give_back()
+
+    return go
+
+
 def held_out(doc_id: Column | str, of: int) -> Column:
     """crc32 of the id's decimal text modulo ``of`` is 2; false where the id is null."""
     text = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship
+from .common import chunks, ship, task
 
 #: Buckets of n-grams, sizes of n-grams, and the bound on training documents of one language.
 BITS, SIZES, PER_LANGUAGE = 15, (1, 3), 4000
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             b = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), k, np.int32)), pa.array(b.astype(np.int32)), pa.array(n[b].astype(np.int64))], names=["k", "b", "n"])
 
-    summed = labelled.filter(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
+    summed = labelled.filter(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(task(run), "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(names), 1 << BITS))
     counts[summed.k, summed.b] = summed.n
     return Model(names, counts, np.array([r["count"] for r in sizes], float))
@@ -109,4 +109,4 @@ def predict(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     schema = source.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(task(run), schema)

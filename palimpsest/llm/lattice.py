@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship
+from .common import Scratch, ship, task
 from .graph import components, groups, stars, tiled
 from .vectors import matrix, usable
 
@@ -121,7 +121,7 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.95, scratch: Scratch
     scratch = scratch or Scratch(spark)
     ship(spark)
     rows = vectors.select("vec_id", "embedding")
-    keyed = usable(rows).filter("exists(embedding, x -> x <> 0)").select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2"))
+    keyed = usable(rows).filter("exists(embedding, x -> x <> 0)").select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     distinct = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"), F.max(F.size("embedding")).alias("width"))
     distinct = scratch.save(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
     facts = distinct.agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("n")).first()
@@ -145,14 +145,14 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.95, scratch: Scratch
                 )
 
     schema = T.StructType([T.StructField(c, k) for c, k in (("t", T.IntegerType()), ("cell", T.LongType()), ("home", T.BooleanType()), ("uid", T.LongType()), ("n", T.LongType()), ("v", distinct.schema["embedding"].dataType), ("cells", T.ArrayType(T.LongType())))])
-    dealt = tiled(distinct.select("uid", "n", "embedding").mapInArrow(hashed, schema), ["t", "cell"], "uid", TILE, scratch, "heavy")
+    dealt = tiled(distinct.select("uid", "n", "embedding").mapInArrow(task(hashed), schema), ["t", "cell"], "uid", TILE, scratch, "heavy")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in groups(batches, ["t", "cell", "tile_i", "tile_j"]):
             yield from _compare(table, bounds, at_least, width)
 
     # b is null in rows that count links of a, and the other end in links
-    found = scratch.save(dealt.mapInArrow(compare, "a long, b long, n long"), "found")
+    found = scratch.save(dealt.mapInArrow(task(compare), "a long, b long, n long"), "found")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("more"))
     root = components(found.filter("b IS NOT NULL").select("a", "b"), scratch, "lattice")
     rooted = distinct.select("h1", "h2", "uid", "n", "first").join(root, F.col("uid") == F.col("node"), "left").join(counts, "uid", "left")

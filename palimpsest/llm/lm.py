@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .attention import CLASSES, SLOTS, WINDOW, Attention, classes
-from .common import Scratch, chunks, held_out, ship
+from .common import Scratch, chunks, heavy, held_out, ship, task
 from .graph import groups
 
 #: UTF-8 bytes of text in a block, documents whose windows give the attention weights a start, windows of one of them.
@@ -31,7 +31,6 @@ MIX, RECENT = 0.9, 0.05
 #: Distinct words that a worker keeps the subwords of.
 KEEP = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_built: dict[int, Subwords] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,10 +61,7 @@ class Subwords:
 
 
 def _subwords(rank_file: bytes) -> Subwords:
-    key = hash(rank_file)
-    if key not in _built:
-        _built[key] = Subwords(rank_file)
-    return _built[key]
+    return heavy(("subwords", hash(rank_file)), lambda: Subwords(rank_file))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +165,7 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
     facts = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("docs")).first()
     blocks = max(1, -(-facts["bytes"] // block_bytes))
     source = source.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(blocks)).cast("int"))
-    asked = source.repartition("block").sortWithinPartitions("block").mapInArrow(_count, "block int, word string, n long")
+    asked = source.repartition("block").sortWithinPartitions("block").mapInArrow(task(_count), "block int, word string, n long")
     same = Window.partitionBy("word")
     words = asked.select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")).filter("c > 0")
     words = scratch.save(words, "words")
@@ -187,7 +183,7 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["id", "n"])
 
-    counted = once.select("word", "c").mapInArrow(subword_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = once.select("word", "c").mapInArrow(task(subword_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(end + 1)
     counts[counted.id] = counted.n
     counts[end] = train_docs
@@ -208,7 +204,7 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
         held.value.model.train(np.array(got, np.int64).reshape(-1, WINDOW + 1))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held.value.model)], pa.binary())], names=["model"])
 
-    trained = sample.mapInArrow(windows, "w array<int>").coalesce(1).mapInArrow(fit, "model binary").first()
+    trained = sample.mapInArrow(task(windows), "w array<int>").coalesce(1).mapInArrow(task(fit), "model binary").first()
     scorer.model = pickle.loads(trained["model"]) if trained else scorer.model
     held = spark.sparkContext.broadcast(scorer)
 
@@ -223,7 +219,7 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
             flat = np.concatenate([own.p[k].ravel() for k in own.p]).astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, n))], names=["i", "s"])
 
-    sums = source.filter("NOT held_out").select("text").mapInArrow(follow, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")
+    sums = source.filter("NOT held_out").select("text").mapInArrow(task(follow), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")
     if len(sums):
         flat, p = (sums.s.to_numpy()[:-1] / sums.s.iloc[-1]).astype(np.float32), scorer.model.p
         for k, part in zip(p, np.split(flat, np.cumsum([x.size for x in p.values()])[:-1]), strict=True):

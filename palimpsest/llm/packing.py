@@ -9,9 +9,13 @@ their slots by their rank within their length.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -21,60 +25,90 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import latin
-from .common import Scratch, chunks, ship
+from .common import Scratch, chunks, heavy, ship, task
 
 CAPACITY = 2048
-#: Distinct words that a worker keeps, and pieces of one length that are ranked in one go.
-KEEP, RANKED = 800_000, 100_000
+#: Bytes that a worker's table of words may take, about, and pieces of one length that are ranked in one go.
+KEEP, RANKED = 120_000_000, 100_000
 _LOWER = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256))
-_built: dict[int, WordEncoder] = {}
+
+
+class _Words(dict):
+    """Ids of words that were met, as little-endian bytes.
+
+    Two generations: beyond half of ``limit`` bytes the words become the elder ones, and the elder ones before go;
+    a word that is met again among the elder is young again.
+    """
+
+    def __init__(self, encode: Callable[[str | bytes], list[int]], limit: int):
+        self.encode, self.most, self.size, self.elder = encode, limit // 2, 0, {}
+
+    def __missing__(self, word: str | bytes) -> bytes:
+        ids = self.elder.get(word)
+        if ids is None:
+            found = array("I", self.encode(word))
+            if sys.byteorder == "big":
+                found.byteswap()
+            ids = found.tobytes()
+        self.size += len(word) + len(ids) + 200  # two objects and a place in the table
+        if self.size > self.most:
+            self.elder, self.size = self.copy(), 0
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that drops white space: words that were met are looked up.
 
-    def __init__(self, config: str):
+    The tokenizer's own markers in a text are single ids, as by its default. Between them, Latin-1 texts are cut into
+    the tokenizer's words here, lower-cased and composed already, and the model alone encodes those; other texts are
+    cut at spaces and go through the whole tokenizer.
+    """
+
+    def __init__(self, config: str, limit: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str | bytes, bytes] = {"": b""}
-        # the tokenizer's own split of lower-cased text; Latin-1 texts are composed already
+        parts = json.loads(config)
+        markers = {m["content"]: np.array([m["id"]], "<u4").tobytes() for m in parts["added_tokens"]}
+        self.markers, self.between = markers, re.compile("|".join(map(re.escape, sorted(markers, key=len, reverse=True))))
+        tokenize, letters = self.tokenizer.model.tokenize, _alphabet()
+        whole = self.tokenizer.encode
+        self.narrow_ids = _Words(lambda w: [t.id for t in tokenize(w.decode("latin-1").encode().decode("latin-1").translate(letters))], limit)
+        self.wide_ids = _Words(lambda w: whole(w, add_special_tokens=False).ids, limit)
+        # the tokenizer's own split of lower-cased text
         self.narrow = latin(("[L]+", "'s|'t|'re|'ve|'m|'ll|'d", "[N]", "[^SLN]+"))
 
-    def _cut(self, text: str | None) -> list[str] | list[bytes]:
-        """Parts of a text that are encoded alone: words of Latin-1 texts, else what lies between spaces."""
-        if not text:
-            return []
+    def _plain(self, text: str) -> bytes:
         try:
-            return self.narrow(text.encode("latin-1").translate(_LOWER))
+            return b"".join(map(self.narrow_ids.__getitem__, self.narrow(text.encode("latin-1").translate(_LOWER))))
         except UnicodeEncodeError:
-            return text.replace("\n", " ").split(" ")
+            return b"".join(map(self.wide_ids.__getitem__, text.replace("\n", " ").split(" ")))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        units = [self._cut(t) for t in texts]
-        every = set().union(*units)
-        new = [u for u in every if u not in self.known]
-        if len(self.known) + len(new) > KEEP:
-            self.known = {"": b""}
-            new = [u for u in every if u]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            plain = [u.decode("latin-1") if isinstance(u, bytes) else u for u in part]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                self.known[u] = np.array(e.ids, "<u4").tobytes()
-        ids = self.known.__getitem__
-        for u in units:
-            yield b"".join(map(ids, u))
+        for text in texts:
+            if not text:
+                yield b""
+            elif any(m in text for m in self.markers):
+                found = self.between.findall(text)
+                plain = map(self._plain, self.between.split(text))
+                yield b"".join([next(plain), *(x for m, p in zip(found, plain, strict=True) for x in (self.markers[m], p))])
+            else:
+                yield self._plain(text)
+
+
+def _alphabet() -> dict[int, str]:
+    """The printable letter that byte-level tokenizers write for each byte: itself if printable, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def _encoder(config: str) -> WordEncoder:
-    key = hash(config)
-    if key not in _built:
-        _built[key] = WordEncoder(config)
-    return _built[key]
+    return heavy(("packing", hash(config)), lambda: WordEncoder(config))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -132,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last, size = _encoder(config.value), end.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            for part in chunks(batch, "text", 2_000_000):
+            for part in chunks(batch, "text", 500_000):
                 at, piece, length, crc = [], [], [], []
                 for i, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
                     ids += last
@@ -142,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                 number = np.array(piece, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(task(run), schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
@@ -155,8 +189,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = No
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     cut = scratch.save(pieces(docs, capacity=capacity), "pieces")
-    buckets = 64
-    while buckets * RANKED < cut.count():
+    buckets, rows = 64, cut.count()
+    while buckets * RANKED < rows:
         buckets *= 2
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = scratch.save(cut.groupBy("length", "bucket").count(), "counts")
@@ -174,4 +208,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = No
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bin_), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     schema = T.StructType([*cut.select(kept).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*kept, "rank").mapInArrow(place, schema)
+    return ranked.select(*kept, "rank").mapInArrow(task(place), schema)

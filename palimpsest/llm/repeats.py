@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship
+from .common import Scratch, ship, task
 from .graph import groups
 from .suffixes import Suffixes, least_in, prefixes, windows
 
@@ -250,26 +250,26 @@ def spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     kinds = "k long, t long, anchor boolean, h long, c1 long, c2 long, a long, low long, high long"
     one, n = F.count(F.lit(1)), F.count(F.lit(1)).alias("n")
     long_enough = docs.filter(F.octet_length("text") >= length)
-    found = scratch.save(long_enough.mapInArrow(lambda b: _found(b, length), kinds), "anchors")
+    found = scratch.save(long_enough.mapInArrow(task(lambda b: _found(b, length)), kinds), "anchors")
     many = scratch.save(found.filter("anchor").groupBy("h").count().filter("count > 1").select("h"), "many")
     met = scratch.save(found.filter("anchor").join(many, "h").select("h", "c1", "c2", "k", "t", "a", "low", "high"), "met")
     contexts = scratch.save(met.groupBy("h", "c1", "c2").agg(n, F.min(F.struct("k", "t", "a", "low", "high")).alias("at")), "contexts")
     sizes = scratch.save(contexts.groupBy("h").agg(one.alias("m")).filter("m > 1"), "sizes")
     asked = F.struct("h", "c1", "c2", "m", (F.col("n") == 1).alias("ask"), "at.a", "at.low", "at.high").alias("x")
     needed = contexts.join(sizes, "h").select("at.k", "at.t", asked).groupBy("k", "t").agg(F.collect_list("x").alias("xs"))
-    cuts = long_enough.join(needed, ["k", "t"]).select("k", "t", "text", "xs").mapInArrow(lambda b: _cut(b, length), "g long, h long, c1 long, c2 long, m long, ask boolean, low long, high long, bytes binary")
+    cuts = long_enough.join(needed, ["k", "t"]).select("k", "t", "text", "xs").mapInArrow(task(lambda b: _cut(b, length)), "g long, h long, c1 long, c2 long, m long, ask boolean, low long, high long, bytes binary")
     cuts = scratch.save(cuts, "cuts", compression="zstd")
     bounds = ["h", "c1", "c2", "low", "high"]
     results = [contexts.filter("n > 1").select("h", "c1", "c2", "at.low", "at.high")]
     step, turn = 1 << (length - GRAM).bit_length(), 0  # powers of two, so parts lie within those before
     while True:
         light = cuts.filter(F.col("m") <= TOGETHER).select("g", *bounds, "ask", "bytes").repartition("g").sortWithinPartitions("g", "h", "c1", "c2")
-        results.append(light.mapInArrow(lambda b: _compare(b, length), "h long, c1 long, c2 long, low long, high long"))
+        results.append(light.mapInArrow(task(lambda b: _compare(b, length)), "h long, c1 long, c2 long, low long, high long"))
         crowded = cuts.filter(F.col("m") > TOGETHER)
         if crowded.isEmpty():
             break
         step, turn = max(1, step // PARTS), turn + 1
-        dealt = crowded.mapInArrow(lambda b, step=step: _split(b, length, step), "g long, u1 long, u2 long, h long, c1 long, c2 long, ask boolean, low long, high long, bytes binary")
+        dealt = crowded.mapInArrow(task(lambda b, step=step: _split(b, length, step)), "g long, u1 long, u2 long, h long, c1 long, c2 long, ask boolean, low long, high long, bytes binary")
         dealt = scratch.save(dealt, f"dealt-{turn}", compression="zstd")
         # contexts that are one within the part share all its windows; one of them goes on, as a witness
         alike = dealt.groupBy("g", "u1", "u2").agg(n, *(F.first(c).alias(c) for c in (*bounds, "ask", "bytes")))
@@ -348,7 +348,7 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=schema.names)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
-    return source.mapInArrow(report, schema)
+    return source.mapInArrow(task(report), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
@@ -365,5 +365,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | No
             texts = [t if not s else _kept(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    cut = source.mapInArrow(trim, T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
+    cut = source.mapInArrow(task(trim), T.StructType([source.schema["row"], T.StructField("text", T.StringType())]))
     return cut.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

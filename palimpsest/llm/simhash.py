@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks, ship
+from .common import Scratch, chunks, ship, task
 from .graph import components, groups, stars, tiled
 
 WIDTH = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = (
                 fp = np.array([fingerprint(t, width) for t in part.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([*map(part.column, carry), pa.array(fp.view(np.int64))], names=[*carry, "fp"])
 
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return docs.select(*carry, "text").mapInArrow(task(run), schema)
 
 
 def _syndromes() -> np.ndarray:
@@ -133,9 +133,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rooted(by_doc: DataFrame, first: Column, scratch: Scratch) -> DataFrame:
     """(fp, first, root) of each distinct fingerprint; ``first`` is an aggregate of its rows, root names the component."""
     distinct = scratch.save(by_doc.groupBy("fp").agg(first.alias("first")), "distinct")
-    rows = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
+    rows = distinct.select("fp").mapInArrow(task(_replicate), "anchor long, fp long, home boolean")
     dealt = tiled(rows, ["anchor"], "fp", TILE, scratch, "heavy")
-    links = dealt.mapInArrow(_compare, "a long, b long")
+    links = dealt.mapInArrow(task(_compare), "a long, b long")
     roots = components(links, scratch, "simhash")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     return scratch.save(rooted, "rooted")

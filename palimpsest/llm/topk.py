@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, ship, task
 from .vectors import matrix, usable
 
 #: Queries of one block, candidates of one piece, leading components of a partial sum.
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column | str, k: int = 5, scale: int = 2
             if search:
                 yield search.rows()
 
-        found = fine.mapInArrow(run, "query_id long, vec_id long, score long")
+        found = fine.mapInArrow(task(run), "query_id long, vec_id long, score long")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if blocks == 1:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, held_out, ship
+from .common import chunks, held_out, ship, task
 
 #: The bound on labelled documents that the model learns from, and the words of a document that count as near.
 SAMPLE, NEAR = 12_000, 5
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model([t for _, _, t in got], np.array([y for _, y, _ in got], int)))], pa.binary())], names=["model"])
 
-    learned = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    learned = rows.coalesce(1).mapInArrow(task(run), "model binary").first()
     return pickle.loads(learned["model"]) if learned else Model([], np.zeros(0, int))
 
 
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(score), pa.array((score >= LIMIT).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     fields = [*source.drop("text").schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(task(run), T.StructType(fields))
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,4 +250,4 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
             for part in chunks(batch, "text", 2_000_000):
                 yield part.filter(pa.array(held.value.score(part.column("text").to_pylist()) < LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)

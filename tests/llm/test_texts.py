@@ -76,7 +76,7 @@ def test_packing_plan():
 
 def test_packing(docs, texts):
     tk = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
+    assert tk.encode("hello <|endoftext|> there", add_special_tokens=False).ids == [3306, 49407, 997]
     want = Counter()
     for i, t in texts:
         ids = np.array([*tk.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -93,6 +93,17 @@ def test_packing(docs, texts):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_word_encoder(monkeypatch):
+    tk = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    config = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    rnd = random.Random(12)
+    signs = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "don't", "É", "ß", "\xb5", "\xb2", "12", " ", "\x85", "\xa0", "\n", "ǅ", "İ", "e\u0301", "ﬁ", "日本", "\U0001f600", "word", "İx"]
+    some = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(500)]
+    want = [np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    for limit in (packing.KEEP, 2000):  # 2000: words are forgotten all the time
+        assert list(packing.WordEncoder(config, limit).encode(some)) == want
+
+
 def plain_fingerprint(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
