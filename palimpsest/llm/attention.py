@@ -1,202 +1,211 @@
-"""A small causal self-attention model over token classes, trained and applied in numpy.
+"""A small causal self-attention model over subword ids, trained and applied in numpy.
 
-A subword's probability is that of its class, times that of its slot in the class, both given the classes before
-it, times its share of the slot. Classes are single ids for the commonest and groups of about equal weight for the
-rest; the commonest ids of a group have slots of their own, the others share its last slots. Shares come from counts
-over the whole training corpus.
+Ids are leaves of a Huffman tree by their counts over the whole training corpus; the probability of an id is the
+product of the turns on its path, each a logistic function of the context's vector, so every turn depends on the
+ids before. The commonest ids have leaves of their own; the others share the last leaves by their counts.
+
+Texts are covered by overlapping windows: each has WINDOW inputs, and the targets of the last STRIDE of them count.
+So every id is scored, and trained on, once, with at least WINDOW - STRIDE ids before it where the text has them.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Classes, the end of a text among them; width, hidden width, window, and the step between windows.
-CLASSES, WIDTH, HIDDEN, WINDOW, STRIDE = 96, 16, 32, 32, 16
-#: Classes of a single id, groups, slots of a group, those of a single id among them.
-SINGLE = (CLASSES - 1) * 3 // 4
-GROUPS, SLOTS, OWN = CLASSES - 1 - SINGLE, 64, 48
+#: Leaves, those of one id among them; width, hidden width, window, and the step between windows.
+LEAVES, OWN = 4096, 3584
+WIDTH, HIDDEN, WINDOW, STRIDE = 16, 32, 32, 16
 _F = np.float32
+_FRESH = WINDOW - STRIDE  # the first place of a window whose target counts
 
 
-def classes(counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each id, its slot, log10 of its share of the slot, and the slots' shares of each group.
-
-    Every id gets a share, ``end`` a class of its own.
-    """
-    of = np.zeros(len(counts), np.int64)
+def leaves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of each id, log10 of its share of the leaf, and the leaves' weights; every id gets a share."""
     weight = counts + 0.05
     order = np.argsort(-weight, kind="stable")
-    order = order[order != end]
-    of[order[:SINGLE]] = np.arange(SINGLE)
-    rest = order[SINGLE:]
-    mass = np.cumsum(weight[rest])
-    of[rest] = SINGLE + np.minimum(GROUPS - 1, (mass / mass[-1] * GROUPS * (1 - 1e-12)).astype(np.int64))
-    of[end] = CLASSES - 1
-    slot = np.zeros(len(counts), np.int64)
-    for g in range(GROUPS):
-        ids = rest[of[rest] == SINGLE + g]
-        slot[ids[:OWN]] = np.arange(len(ids[:OWN]))
-        tail = np.cumsum(weight[ids[OWN:]])
-        if len(tail):
-            slot[ids[OWN:]] = OWN + np.minimum(SLOTS - OWN - 1, (tail / tail[-1] * (SLOTS - OWN) * (1 - 1e-12)).astype(np.int64))
-    total = np.bincount(of * SLOTS + slot, weight, CLASSES * SLOTS)
-    return of, slot, np.log10(weight / total[of * SLOTS + slot]), total.reshape(CLASSES, SLOTS)[SINGLE : SINGLE + GROUPS]
+    leaf = np.empty(len(counts), np.int32)
+    leaf[order[:OWN]] = np.arange(len(order[:OWN]))
+    rest = order[OWN:]
+    if len(rest):
+        mass = np.cumsum(weight[rest])
+        leaf[rest] = OWN + np.minimum(LEAVES - OWN - 1, (mass / mass[-1] * (LEAVES - OWN) * (1 - 1e-12)).astype(np.int64))
+    total = np.bincount(leaf, weight, LEAVES)
+    return leaf, np.log10(weight / total[leaf]), total
+
+
+class Tree:
+    """Paths of leaves: turn i of leaf k is at ``node[start[k] + i]``, to the right where ``sign`` is 1, else -1."""
+
+    def __init__(self, weight: np.ndarray):
+        weight = np.maximum(weight, 1e-6)
+        heap = [(w, k) for k, w in enumerate(weight.tolist())]
+        heapq.heapify(heap)
+        n = len(weight)
+        up, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+        self.bias = np.zeros(n - 1, _F)
+        for inner in range(n - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[[i, j]], side[i], side[j] = n + inner, -1, 1
+            self.bias[inner] = np.log(b / a)
+            heapq.heappush(heap, (a + b, n + inner))
+        at, paths = np.arange(n), []
+        while (going := at < 2 * n - 2).any():
+            paths.append((np.flatnonzero(going), up[at[going]] - n, side[at[going]]))
+            at = np.where(going, up[at], at)
+        k = np.concatenate([p[0] for p in paths])
+        order = np.argsort(k, kind="stable")
+        self.node = np.concatenate([p[1] for p in paths])[order].astype(np.int32)
+        self.sign = np.concatenate([p[2] for p in paths])[order].astype(_F)
+        self.size = np.bincount(k, minlength=n)
+        self.start = np.cumsum(self.size) - self.size
+
+
+def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first target of each window, for texts of some sizes."""
+    n = -(-size // STRIDE)
+    text = np.repeat(np.arange(len(size)), n)
+    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
 
 
 class Attention:
-    """One block: class and place embeddings, causal self-attention, a hidden layer, a softmax over classes and one
-    over the slots of each group."""
+    """One block: leaf and place embeddings, causal self-attention, a hidden layer, turns in the tree."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, weight: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
 
         def draw(*shape: int, scale: float = 1.0) -> np.ndarray:
             return (rng.standard_normal(shape) * scale / np.sqrt(shape[0])).astype(_F)
 
-        self.p = {"e": draw(CLASSES + 1, WIDTH, scale=3), "at": draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH), "h": draw(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, _F), "u": draw(HIDDEN, WIDTH), "w": draw(WIDTH, CLASSES), "b": np.zeros(CLASSES, _F), "gw": np.zeros((GROUPS, WIDTH, SLOTS), _F), "gb": np.zeros((GROUPS, SLOTS), _F)}
-        self.past = np.tril(np.ones((WINDOW, WINDOW), _F))
-
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Logits of the next class at each place of windows of input classes (windows, up to WINDOW)."""
-        p, (m, n) = self.p, x.shape
+        self.tree = Tree(weight)
+        n = len(weight)
+        self.none = n  # input before a text begins
+        self.p = {
+            "e": (rng.standard_normal((n + 1, WIDTH)) * 0.3).astype(_F), "at": draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH),
+            "h": draw(WIDTH, HIDDEN), "hb": np.zeros(HIDDEN, _F), "u": draw(HIDDEN, WIDTH), "n": np.zeros((n - 1, WIDTH), _F), "nb": self.tree.bias.copy(),
+        }
+
+    def inputs(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Batches of windows over the texts text[start:stop] of leaves: inputs, which of them are there, places of the
+        targets in ``text``, and which targets are there."""
+        doc, first = windows(stop - start)
+        for i in range(0, len(doc), 256):
+            begin, d = first[i : i + 256, None], doc[i : i + 256]
+            place = begin + np.arange(WINDOW) - _FRESH  # of the target beside each input
+            there = (place >= 0) & (place < (stop - start)[d, None])
+            at = np.minimum(start[d, None] + np.maximum(place, 0), len(text) - 1)
+            yield np.where(place > 0, text[np.maximum(at - 1, 0)], self.none), there, at[:, _FRESH:], there[:, _FRESH:]
+
+    def forward(self, x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Context vectors of the last STRIDE places of windows (windows, WINDOW)."""
+        p, m = self.p, len(x)
         z = p["e"][x]
-        z += p["at"][:n]
-        flat = z.reshape(m * n, WIDTH)
-        q, k, v = ((flat @ p[i]).reshape(m, n, WIDTH) for i in "qkv")
-        s = (q * _F(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-        past = self.past[:n, :n]
-        s -= 50 * (1 - past)
+        z += p["at"]
+        flat = z.reshape(-1, WIDTH)
+        k, v = ((flat @ p[i]).reshape(m, WINDOW, WIDTH) for i in "kv")
+        late = np.ascontiguousarray(z[:, _FRESH:]).reshape(-1, WIDTH)
+        q = (late @ p["q"] * _F(WIDTH**-0.5)).reshape(m, STRIDE, WIDTH)
+        s = q @ k.transpose(0, 2, 1)
+        # a place sees itself and what is before it; its own input is always seen
+        s += _PAST
+        if not there[:, :_FRESH].all():
+            s -= np.where(there | (np.arange(WINDOW) >= _FRESH), _F(0), _F(60))[:, None]
         s -= s.max(2, keepdims=True)
         np.maximum(s, -30, out=s)  # tiny numbers are slow to work with
         np.exp(s, out=s)
-        s *= past
         s /= s.sum(2, keepdims=True)
-        c = s @ v
-        y = flat + c.reshape(m * n, WIDTH) @ p["o"]
+        c = (s @ v).reshape(-1, WIDTH)
+        y = late + c @ p["o"]
         h = y @ p["h"]
         h += p["hb"]
         np.maximum(h, 0, out=h)
         r = y + h @ p["u"]
-        out = r @ p["w"]
-        out += p["b"]
-        y, h, r, out = (i.reshape(m, n, -1) for i in (y, h, r, out))
-        return out, (x, z, q, k, v, s, c, y, h, r)
-
-    def within(self, r: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each group: its number, the places whose target it is, log probabilities of its slots there."""
-        order = np.argsort(target, kind="stable")
-        bounds = np.searchsorted(target[order], np.arange(SINGLE, SINGLE + GROUPS + 1))
-        for g in range(GROUPS):
-            rows = order[bounds[g] : bounds[g + 1]]
-            if len(rows):
-                z = r[rows] @ self.p["gw"][g]
-                z += self.p["gb"][g]
-                z -= z.max(1, keepdims=True)
-                z -= np.log(np.exp(z).sum(1, keepdims=True))
-                yield g, rows, z
-
-    def loss(self, x: np.ndarray, target: np.ndarray, slot: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy in nats and its gradients; slots of the targets count where they are given."""
-        p = self.p
-        logits, (x, z, q, k, v, s, c, y, h, r) = self.forward(x)
-        logits = logits - logits.max(2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(2, keepdims=True)
-        b, n = x.shape
-        i, j = np.arange(b)[:, None], np.arange(n)
-        value = float(-np.log(prob[i, j, target] + 1e-30).mean())
-        prob[i, j, target] -= 1
-        d = prob / _F(b * n)
+        return r, (x, z, late, q, k, v, s, c, y, h)
+
+    def turns(self, r: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Turns on the way to each target: nodes, signs, where rows begin, vectors of nodes and rows, signed logits."""
+        size = self.tree.size[target]
+        stop = np.cumsum(size)
+        first = stop - size
+        row = np.repeat(np.arange(len(target)), size)
+        at = np.arange(stop[-1] if len(stop) else 0) + (self.tree.start[target] - first)[row]
+        node, sign = self.tree.node[at], self.tree.sign[at]
+        of, mine = self.p["n"][node], r[row]
+        t = np.einsum("pd,pd->p", of, mine)
+        t += self.p["nb"][node]
+        t *= sign
+        return node, sign, first, of, mine, np.clip(t, -60, 60, out=t)
+
+    def loss(self, x: np.ndarray, there: np.ndarray, target: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy in nats of the targets that count, and its gradients."""
+        p, m = self.p, len(x)
+        r, (x, z, late, q, k, v, s, c, y, h) = self.forward(x, there)
+        rows = np.flatnonzero(counts.ravel())
+        node, sign, first, of, mine, t = self.turns(r[rows], target.ravel()[rows])
+        odds = np.exp(-t)
+        value = float(np.log1p(odds).sum() / max(1, len(rows)))
+        d = -sign * odds / (1 + odds) / _F(max(1, len(rows)))
         g: dict[str, np.ndarray] = {}
-
-        def across(a: np.ndarray, e: np.ndarray) -> np.ndarray:
-            return a.reshape(-1, a.shape[-1]).T @ e.reshape(-1, e.shape[-1])
-
-        g["w"], g["b"] = across(r, d), d.sum((0, 1))
-        dr = d @ p["w"].T
-        g["gw"], g["gb"] = np.zeros_like(p["gw"]), np.zeros_like(p["gb"])
-        if slot is not None:
-            flat, chosen, back = r.reshape(b * n, WIDTH), slot.ravel(), dr.reshape(b * n, WIDTH)
-            for group, rows, log in self.within(flat, target.ravel()):
-                place = np.arange(len(rows))
-                value -= float(log[place, chosen[rows]].sum()) / (b * n)
-                e = np.exp(log)
-                e[place, chosen[rows]] -= 1
-                e /= _F(b * n)
-                g["gw"][group], g["gb"][group] = flat[rows].T @ e, e.sum(0)
-                back[rows] += e @ p["gw"][group].T
-        g["u"] = across(h, dr)
+        mine *= d[:, None]
+        of *= d[:, None]
+        g["n"] = _scatter(node, mine, len(p["n"]))
+        g["nb"] = np.bincount(node, d, len(p["nb"])).astype(_F)
+        dr = np.zeros_like(r)
+        if len(rows):
+            dr[rows] = np.add.reduceat(of, first)
+        g["u"] = h.T @ dr
         dh = (dr @ p["u"].T) * (h > 0)
-        g["h"], g["hb"] = across(y, dh), dh.sum((0, 1))
+        g["h"], g["hb"] = y.T @ dh, dh.sum(0)
         dy = dr + dh @ p["h"].T
-        g["o"] = across(c, dy)
-        dc = dy @ p["o"].T
+        g["o"] = c.T @ dy
+        dc = (dy @ p["o"].T).reshape(m, STRIDE, WIDTH)
         ds = dc @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ dc
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * _F(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["q"], g["k"], g["v"] = across(z, dq), across(z, dk), across(z, dv)
-        dz = dy + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        g["at"] = np.zeros_like(p["at"])
-        g["at"][:n] = dz.sum(0)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], x.ravel(), dz.reshape(-1, WIDTH))
+        dv = (s.transpose(0, 2, 1) @ dc).reshape(-1, WIDTH)
+        ds = s * (ds - (ds * s).sum(2, keepdims=True))
+        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+        dq = (ds @ k).reshape(-1, WIDTH) * _F(WIDTH**-0.5)
+        flat = z.reshape(-1, WIDTH)
+        g["q"], g["k"], g["v"] = late.T @ dq, flat.T @ dk, flat.T @ dv
+        dz = (dk @ p["k"].T + dv @ p["v"].T).reshape(m, WINDOW, WIDTH)
+        dz[:, _FRESH:] += (dy + dq @ p["q"].T).reshape(m, STRIDE, WIDTH)
+        g["at"] = dz.sum(0)
+        g["e"] = _scatter(x.ravel(), dz.reshape(-1, WIDTH), len(p["e"]))
         return value, g
 
-    def train(self, windows: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.01, seed: int = 6, once: bool = False) -> None:
-        """Adam over windows of WINDOW + 1 codes, class times SLOTS plus slot, input and target in one; ``once`` takes each window in one step."""
-        if not len(windows):
-            return
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(windows)) if once else None
-        steps = -(-len(windows) // batch) if once else steps
+    def train(self, batches: Iterator[tuple[np.ndarray, ...]], steps: int, rate: float) -> None:
+        """A step of Adam for each batch (inputs, there, targets, which count); the rate falls over ``steps``."""
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step in range(1, steps + 1):
-            w = windows[order[(step - 1) * batch : step * batch] if once else rng.integers(0, len(windows), batch)]
-            c = w // SLOTS
-            _, grad = self.loss(c[:, :-1], c[:, 1:], w[:, 1:] % SLOTS)
-            now = rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5
+        for step, batch in enumerate(batches, 1):
+            _, grad = self.loss(*batch)
+            now = rate * min(1.0, step / 50) * max(0.02, 1 - step / (steps + 1)) ** 0.5
+            now *= (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
             for name, g in grad.items():
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.99 * second[name] + 0.01 * g * g
-                self.p[name] -= (now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(_F)
+                a, b = first[name], second[name]
+                a += _F(0.1) * (g - a)
+                b += _F(0.01) * (g * g - b)
+                self.p[name] -= _F(now) * a / (np.sqrt(b) + _F(1e-8))
 
-    def log10(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray, slot: np.ndarray | None = None) -> np.ndarray:
-        """log10 probability of each class, and slot if given, of the documents text[start:stop], which make up ``text``.
-
-        Each document begins with the class CLASSES as input. Windows overlap: the first scores all its places, each
-        further one its last STRIDE, so each class is scored once, with WINDOW - STRIDE classes before it at least.
-        """
+    def log10(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """log10 probability of each leaf of the texts text[start:stop], which make up ``text``."""
         out = np.zeros(len(text), _F)
-        size = stop - start
-        more = np.maximum(0, -(-(size - WINDOW) // STRIDE))
-        doc = np.repeat(np.arange(len(start)), 1 + more)
-        turn = np.arange(len(doc)) - np.repeat(np.cumsum(1 + more) - (1 + more), 1 + more)
-        # window `turn` has the places [turn * STRIDE, turn * STRIDE + WINDOW) of its document, input one to the left
-        low = turn * STRIDE
-        new = np.where(turn == 0, 0, WINDOW - STRIDE)  # places before it were scored
-        for i in range(0, len(doc), 256):
-            d, lo, fresh = doc[i : i + 256], low[i : i + 256], new[i : i + 256]
-            place = lo[:, None] + np.arange(WINDOW)
-            inside = place < size[d, None]
-            at = np.minimum(start[d, None] + place, len(text) - 1)
-            target = np.where(inside, text[at], 0)
-            x = np.where(place == 0, CLASSES, text[np.maximum(at - 1, 0)])
-            logits, kept = self.forward(x)
-            chosen = np.take_along_axis(logits, target[:, :, None], 2)[:, :, 0]
-            logits -= (top := logits.max(2, keepdims=True))
-            np.maximum(logits, -80, out=logits)
-            np.exp(logits, out=logits)
-            value = chosen - top[:, :, 0] - np.log(logits @ np.ones(CLASSES, _F))
-            there = inside & (np.arange(WINDOW) >= fresh[:, None])
-            if slot is not None:
-                where = at[there]
-                more = np.zeros(len(where), _F)
-                for _, rows, z in self.within(kept[-1][there], text[where]):
-                    more[rows] = z[np.arange(len(rows)), slot[where[rows]]]
-                value[there] += more
-            out[at[there]] = value[there]
-        return out * _F(1 / np.log(10))
+        for x, there, at, counts in self.inputs(text, start, stop):
+            r, _ = self.forward(x, there)
+            rows = np.flatnonzero(counts.ravel())
+            where = at.ravel()[rows]
+            _, _, first, _, _, t = self.turns(r[rows], text[where])
+            out[where] = np.add.reduceat(np.log1p(np.exp(-t)), first)
+        return out * _F(-1 / np.log(10))
+
+
+_PAST = np.where(np.arange(WINDOW) <= np.arange(STRIDE)[:, None] + _FRESH, _F(0), _F(-60))
+
+
+def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by place."""
+    out = np.empty((n, rows.shape[1]), _F)
+    for d, column in enumerate(np.ascontiguousarray(rows.T)):
+        out[:, d] = np.bincount(at, column, n)
+    return out

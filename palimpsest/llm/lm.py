@@ -1,35 +1,39 @@
 """Language-model scores of whole texts, beside a unigram base.
 
-Documents are dealt to blocks by a hash of their id. Each block asks for its distinct words with their counts in
-its training documents; counts are summed over blocks by word and go back to the blocks that asked, so a common
-word costs one row a block. The subword counts that shape the attention model's classes come from the same table.
+A word's first subword is predicted by causal attention over the first subwords of the words before it; its further
+subwords follow from counts of the training words. Attention steps over every window of every training document.
+
+Documents are dealt to blocks by a hash of their id and text. Each block asks for its distinct words with their counts
+in its training documents; counts are summed over blocks by word and joined back to the blocks that asked, so a common
+word costs one row a block. The counts of subwords come from the same table, once a word.
 """
 
 from __future__ import annotations
 
 import base64
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CLASSES, SLOTS, WINDOW, Attention, classes
+from .attention import Attention, leaves
 from .common import Scratch, chunks, heavy, held_out, ship, task
 from .graph import groups
 
-#: UTF-8 bytes of text in a block, documents whose windows give the attention weights a start, windows of one of them.
-BLOCK, TRAIN, EACH = 8_000_000, 3000, 20
-#: Rate of the steps over all training windows, bytes of text whose windows are mixed for them.
-RATE, MIXED = 0.003, 2_000_000
-#: Weights of attention over subwords and of the words before in the same document; whole-word shares have the rest.
+#: UTF-8 bytes of text in a block, documents that give the attention weights a start, words of one of them, steps.
+BLOCK, TRAIN, EACH, STEPS = 8_000_000, 3000, 320, 400
+#: Rate of the start and of the steps over all training texts, characters of text whose windows are mixed for them.
+FIRST, RATE, MIXED = 0.01, 0.004, 1_000_000
+#: Weights of attention over subwords and of the words before in the same document; the smoothed whole-word share has the rest.
 MIX, RECENT = 0.9, 0.05
-#: Distinct words that a worker keeps the subwords of.
-KEEP = 400_000
+#: Distinct words that a worker keeps the subwords of, weights in one row, words that are scored in one go.
+KEEP, PART, PIECE = 200_000, 8192, 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -46,6 +50,9 @@ class Subwords:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.encoding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1  # the id that the rank file leaves free
+        self.first_byte, self.last_byte = np.zeros(self.end + 1, np.int64), np.zeros(self.end + 1, np.int64)
+        for token, i in ranks.items():
+            self.first_byte[i], self.last_byte[i] = token[0], token[-1]
         self.known: dict[bytes, list[int]] = {}
 
     def of(self, words: list[bytes]) -> list[list[int]]:
@@ -96,28 +103,116 @@ def _earlier(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+class Spelling:
+    """Probabilities of a word's further subwords, given its first, from the training words.
+
+    Words with one first subword share (Witten and Bell) their tokens' mass with a chain for the words never seen: each
+    subword by the last byte before it and its own first byte, then its share of the subwords that begin so.
+    """
+
+    def __init__(self, tokens: np.ndarray, types: np.ndarray, further: np.ndarray, joints: np.ndarray, first_byte: np.ndarray, last_byte: np.ndarray):
+        """tokens, types: training tokens and distinct words by first id; further: times an id goes on with a word;
+        joints: times a last byte is followed by a first byte, or by the end of the word (256)."""
+        self.tokens, self.types, self.first_byte, self.last_byte = tokens, np.maximum(types, 1), first_byte, last_byte
+        follows = joints + 0.1 * np.append(np.bincount(first_byte, minlength=256) > 0, True)
+        self.joint = np.log10(np.maximum(follows, 1e-300) / follows.sum(1, keepdims=True))
+        weight = further + 0.05
+        self.share = np.log10(weight / np.bincount(first_byte, weight, 256)[first_byte])
+
+    def rest(self, words: list[list[int]], counts: np.ndarray) -> np.ndarray:
+        """log10 probability of the further subwords of words, given their first ones; ``counts`` are the words' own."""
+        size = np.array([len(w) for w in words], np.int64)
+        flat = np.array([i for w in words for i in w], np.int64)
+        begin = np.cumsum(size) - size
+        after = np.full(len(flat), 256)
+        inner = np.ones(len(flat), bool)
+        inner[begin] = False
+        goes_on = np.flatnonzero(inner)
+        after[goes_on - 1] = self.first_byte[flat[goes_on]]
+        chain = self.joint[self.last_byte[flat], after]
+        chain[goes_on] += self.share[flat[goes_on]]
+        chain = np.add.reduceat(chain, begin) if len(begin) else np.zeros(0)
+        first = flat[begin]
+        t = self.types[first]
+        return np.log10((counts + t * 10.0 ** np.maximum(chain, -300)) / (self.tokens[first] + t))
+
+
 class Scorer:
-    """What scoring needs of the corpus besides word counts: classes, shares, attention weights."""
-
-    def __init__(self, counts: np.ndarray, end: int):
-        self.end = end
-        self.of, self.slot, self.share, slots = classes(counts, end)
-        self.model = Attention()
-        self.model.p["gb"][:] = np.maximum(-30, np.log(slots / np.maximum(1e-30, slots.sum(1, keepdims=True)) + 1e-30))
-
-    def windows(self, texts: list[list[int]], each: int | None = EACH) -> np.ndarray:
-        """Windows of codes to train on, spread over each text, or all of it without ``each``; short texts are filled up with ends."""
-        out = []
-        for ids in texts:
-            at = np.array(ids + [self.end])
-            c = np.concatenate([[CLASSES * SLOTS], self.of[at] * SLOTS + self.slot[at]])
-            c = np.append(c, np.full(max(0, WINDOW + 1 - len(c)), (CLASSES - 1) * SLOTS))
-            last = len(c) - WINDOW - 1
-            places = np.append(np.arange(0, last, WINDOW), last) if each is None else np.linspace(0, last, min(each, 1 + len(c) // WINDOW)).astype(int)
-            out += [c[i : i + WINDOW + 1] for i in places]
-        return np.array(out)
-
-    def score(self, words: list[list[int]], counts: np.ndarray, total: int, docs: list[np.ndarray]) -> np.ndarray:
+    """What scoring needs of the corpus besides word counts: the tree of first subwords, spelling, attention weights."""
+
+    def __init__(self, tokens: np.ndarray, types: np.ndarray, further: np.ndarray, joints: np.ndarray, first_byte: np.ndarray, last_byte: np.ndarray):
+        """Counts as for Spelling; the last of ``tokens`` is the end's."""
+        self.end = len(tokens) - 1
+        self.leaf, share, weight = leaves(tokens)
+        self.share = share.astype(np.float32)
+        self.spelling = Spelling(tokens, types, further, joints, first_byte, last_byte)
+        self.model = Attention(weight)
+
+    def texts(self, texts: list[str | None], sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves of the words of texts, one after another, with an end each; where texts start and stop."""
+        place: dict[bytes, int] = {}
+        at = [np.fromiter([place.setdefault(w, len(place)) for w in words_of(t)], np.int64) for t in texts]
+        leaf = self.leaf[np.array([*(ids[0] for ids in sub.of(list(place))), self.end])]
+        stop = np.cumsum([len(x) + 1 for x in at])
+        return leaf[np.concatenate([np.append(x, len(leaf) - 1) for x in at])], np.concatenate([[0], stop[:-1]]), stop
+
+    def learn(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, steps: int | None = None, seed: int = 6) -> None:
+        """Steps over every window of ``texts``, in mixed order: once, or until there were ``steps``."""
+        parts = [np.concatenate(x) for x in zip(*((w, there, text[at], c) for text, start, stop in texts for w, there, at, c in self.model.inputs(text, start, stop)), strict=True)]
+        if not parts:
+            return
+        rng, n, size = np.random.default_rng(seed), len(parts[0]), 256
+        each = -(-n // size)
+        turns = (np.split(rng.permutation(n), range(size, n, size)) for _ in range(-(-(steps or each) // each)))
+        batches = (tuple(x[rows] for x in parts) for turn in turns for rows in turn)
+        self.model.train(batches, steps or each, rate)
+
+    def score(self, words: list[list[int]], counts: np.ndarray, total: int, distinct: int, docs: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of documents given as places in ``words``, ends included.
+
+        A word has three probabilities: of its first subword under attention times its spelling, its smoothed share of
+        the ``total`` training tokens (as in the base, where all words that training never saw are one), and its share of
+        the words before it in the document; it counts with their weighted mean. ``counts`` has the training counts of the
+        words, then of the end.
+        """
+        first = np.array([*(w[0] for w in words), self.end], np.int64)
+        rest = np.append(self.spelling.rest(words, counts[:-1]), 0.0) + self.share[first]
+        leaf, plain = self.leaf[first], (counts + 1) / (total + distinct + 1)
+        out, i = [], 0
+        while i < len(docs):
+            j, n = i, 0
+            while j < len(docs) and (j == i or n + len(docs[j]) <= PIECE):
+                n += len(docs[j]) + 1
+                j += 1
+            at = np.concatenate([np.append(x, len(words)) for x in docs[i:j]])
+            sizes = np.array([len(x) + 1 for x in docs[i:j]])
+            stop = np.cumsum(sizes)
+            start = stop - sizes
+            own = self.model.log10(leaf[at], start, stop).astype(np.float64) + rest[at]
+            recent = _earlier(at, np.repeat(np.arange(len(sizes)), sizes)) / np.maximum(1, np.arange(len(at)) - np.repeat(start, sizes))
+            mixed = np.log10(MIX * 10.0 ** np.maximum(own, -300) + RECENT * recent + (1 - MIX - RECENT) * plain[at])
+            out.append(np.add.reduceat(mixed, start))
+            i = j
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def _weights(model: Attention, n: int) -> pa.RecordBatch:
+    """The model's weights times n, and n, in parts."""
+    flat = np.append(np.concatenate([x.ravel() for x in model.p.values()]).astype(np.float64), 1.0) * n
+    parts = [flat[i : i + PART] for i in range(0, len(flat), PART)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "sum"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of parts, one held for each part."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, x in zip(batch.column("part").to_pylist(), batch.column("sum").to_pylist(), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(x)
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sum"])
+
+
+def score(self, words: list[list[int]], counts: np.ndarray, total: int, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of documents given as places in ``words``, ends included.
 
         A word has three probabilities: of its subwords under attention, its share of the ``total`` training tokens,
@@ -149,11 +244,11 @@ class Scorer:
 def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_bytes: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    Null texts count as empty: one end token. Repeated rows count as often as they come, in training too. Documents
-    whose crc32(doc_id as text) mod ``fold`` is 2 are held out of all counts and of the attention weights. Those
-    weights start from windows of a hashed sample of about TRAIN training documents; then each task steps over every
-    window of its training documents, and the mean of the tasks' weights counts, by windows. Word and subword counts
-    cover every training document. Other columns are ignored.
+    Null texts count as empty: one end token. Repeated rows count as often as they come, in training too, and each gives
+    a row; an empty table gives none. Documents whose crc32(doc_id as text) mod ``fold`` is 2 are held out of all counts
+    and of the attention weights. Those weights start from about TRAIN hashed training documents; then each task steps
+    over every window of its training documents, and the mean of the tasks' weights counts, by windows. Word and subword
+    counts cover every training document. Texts of any length are scored whole, in windows. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -164,66 +259,79 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out("doc_id", fold).alias("held_out"))
     facts = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("docs")).first()
     blocks = max(1, -(-facts["bytes"] // block_bytes))
-    source = source.withColumn("block", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(blocks)).cast("int"))
+    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     asked = source.repartition("block").sortWithinPartitions("block").mapInArrow(task(_count), "block int, word string, n long")
-    same = Window.partitionBy("word")
-    words = asked.select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("first")).filter("c > 0")
-    words = scratch.save(words, "words")
-    once = words.filter("first")
+    asked = scratch.save(asked, "asked")
+    once = scratch.save(asked.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "once")
+    words = asked.select("block", "word").join(once, "word")
     total = once.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_docs = facts["docs"]
     n, v = total["n"] + train_docs, total["v"] + (train_docs > 0)
 
     def subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(end + 1, np.int64)
+        """Counts by first id (tokens: 0, words: 1), of further ids (2), and of joints (3: last byte times 257 plus what follows)."""
+        sub = _subwords(ranks.value)
+        counts = np.zeros((4, max(end + 1, 256 * 257)), np.int64)
         for batch in batches:
-            ids = _subwords(ranks.value).of([w.encode() for w in batch.column("word").to_pylist()])
-            times = np.repeat(batch.column("c").to_numpy(), [len(x) for x in ids])
-            np.add.at(counts, np.array([i for x in ids for i in x], np.int64), times)
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["id", "n"])
-
-    counted = once.select("word", "c").mapInArrow(task(subword_counts), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(end + 1)
-    counts[counted.id] = counted.n
-    counts[end] = train_docs
-    scorer = Scorer(counts, end)
+            for ids, c in zip(sub.of([w.encode() for w in batch.column("word").to_pylist()]), batch.column("c").to_pylist(), strict=True):
+                counts[0, ids[0]] += c
+                counts[1, ids[0]] += 1
+                for i, j in zip(ids, ids[1:], strict=False):
+                    counts[2, j] += 1
+                    counts[3, sub.last_byte[i] * 257 + sub.first_byte[j]] += 1
+                counts[3, sub.last_byte[ids[-1]] * 257 + 256] += 1
+        kind, there = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(there), pa.array(counts[kind, there])], names=["kind", "id", "n"])
+
+    # at most three rows an id and one a pair of bytes
+    counted = once.select("word", "c").mapInArrow(task(subword_counts), "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((4, max(end + 1, 256 * 257)))
+    counts[counted.kind, counted.id] = counted.n
+    counts[0, end], counts[1, end] = train_docs, 1
+    sub = _subwords(ranks.value)
+    scorer = Scorer(*counts[:3, : end + 1], counts[3, : 256 * 257].reshape(256, 257), sub.first_byte, sub.last_byte)
     share = min(1.0, TRAIN / max(1, train_docs))
     sample = source.filter("NOT held_out").filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 20)) < share * (1 << 20)).select("text")
     held = spark.sparkContext.broadcast(scorer)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = _subwords(ranks.value)
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text a stretch, wherever its hash says."""
         for batch in batches:
-            ids = [[i for w in sub.of(words_of(t)) for i in w] for t in batch.column("text").to_pylist()]
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(held.value.windows(ids).tolist(), pa.list_(pa.int32()))], names=["w"])
+            out = []
+            for text in batch.column("text").to_pylist():
+                leaf, _, _ = held.value.texts([text], _subwords(ranks.value))
+                at = zlib.crc32(leaf.tobytes()) % max(1, len(leaf) - EACH + 1)
+                out.append(leaf[at : at + EACH])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["w"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(w for b in batches for w in b.column("w").to_pylist())
-        held.value.model.train(np.array(got, np.int64).reshape(-1, WINDOW + 1))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held.value.model)], pa.binary())], names=["model"])
+        own = pickle.loads(pickle.dumps(held.value))
+        if got:
+            stop = np.cumsum([len(w) for w in got])
+            own.learn([(np.concatenate(got).astype(np.int32), stop - [len(w) for w in got], stop)], FIRST, STEPS)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own.model)], pa.binary())], names=["model"])
 
-    trained = sample.mapInArrow(task(windows), "w array<int>").coalesce(1).mapInArrow(task(fit), "model binary").first()
+    trained = sample.mapInArrow(task(some), "w array<int>").coalesce(1).mapInArrow(task(fit), "model binary").first()
     scorer.model = pickle.loads(trained["model"]) if trained else scorer.model
     held = spark.sparkContext.broadcast(scorer)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, own, n = _subwords(ranks.value), pickle.loads(pickle.dumps(held.value.model)), 0
+        own, n = None, 0
         for batch in batches:
             for part in chunks(batch, "text", MIXED):
-                w = held.value.windows([[i for x in sub.of(words_of(t)) for i in x] for t in part.column("text").to_pylist()], None)
-                own.train(w, rate=RATE, once=True)
-                n += len(w)
+                own = own or pickle.loads(pickle.dumps(held.value))
+                texts = own.texts(part.column("text").to_pylist(), _subwords(ranks.value))
+                own.learn([texts], RATE)
+                n += len(texts[0])
         if n:
-            flat = np.concatenate([own.p[k].ravel() for k in own.p]).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, n))], names=["i", "s"])
-
-    sums = source.filter("NOT held_out").select("text").mapInArrow(task(follow), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).toPandas().sort_values("i")
-    if len(sums):
-        flat, p = (sums.s.to_numpy()[:-1] / sums.s.iloc[-1]).astype(np.float32), scorer.model.p
-        for k, part in zip(p, np.split(flat, np.cumsum([x.size for x in p.values()])[:-1]), strict=True):
-            p[k] = part.reshape(p[k].shape)
+            yield _weights(own.model, n)
+
+    sums = source.filter("NOT held_out").select("text").mapInArrow(task(follow), "part int, sum binary").repartition("part").mapInArrow(task(_add), "part int, sum binary").collect()
+    if sums:  # as many rows as the model has parts
+        flat, p = np.concatenate([np.frombuffer(r["sum"]) for r in sorted(sums, key=lambda r: r["part"])]), scorer.model.p
+        for k, part in zip(p, np.split(flat[:-1] / flat[-1], np.cumsum([x.size for x in p.values()])[:-1]), strict=True):
+            p[k] = part.reshape(p[k].shape).astype(np.float32)
     held = spark.sparkContext.broadcast(scorer)
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
@@ -243,7 +351,7 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
         base = [float(log[x[x < known]].sum()) for x in at]
         ids = sub.of(list(place))
         c = np.concatenate([c, np.zeros(len(place) - known), [train_docs]])
-        total = scorer.score(ids, c, n, at) if at else np.zeros(0)
+        total = scorer.score(ids, c, n, v, at) if at else np.zeros(0)
         return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array([len(x) for x in at], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

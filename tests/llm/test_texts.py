@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers as P
@@ -283,34 +284,95 @@ def test_language_model(docs, texts):
     assert lm.score(docs.limit(0)).count() == 0
 
 
-def test_attention_gradients(monkeypatch):
+@pytest.fixture(scope="module")
+def small():
+    """An attention model over seven leaves with random weights, and texts of three sizes."""
+    from palimpsest.llm import attention as A
+
+    rng = np.random.default_rng(0)
+    m = A.Attention(np.array([5.0, 1, 9, 2, 2, 30, 1]))
+    m.p = {k: x + rng.standard_normal(x.shape).astype(np.float32) * np.float32(0.3) for k, x in m.p.items()}
+    text = rng.integers(0, 7, 200).astype(np.int32)
+    return m, text, np.array([0, 5, 150]), np.array([5, 150, 200])
+
+
+def plain_log10(m, text, p):
+    """log10 probability of text[p] by one window, place by place, without batches or masks."""
+    from palimpsest.llm import attention as A
+
+    q = m.p
+    low = p // A.STRIDE * A.STRIDE + A.STRIDE - A.WINDOW  # the first place of p's window
+    z = [q["e"][text[i - 1] if i else m.none].astype(float) + q["at"][i - low] for i in range(max(low, 0), p + 1)]
+    s = np.array([z[-1] @ q["q"] @ (x @ q["k"]) / A.WIDTH**0.5 for x in z])
+    s = np.exp(s - s.max())
+    y = z[-1] + (s / s.sum()) @ np.array([x @ q["v"] for x in z]) @ q["o"]
+    r = y + np.maximum(y @ q["h"] + q["hb"], 0) @ q["u"]
+    a = m.tree.start[text[p]]
+    turns = [(m.tree.node[i], m.tree.sign[i]) for i in range(a, a + m.tree.size[text[p]])]
+    return -sum(math.log10(1 + math.exp(-k * (r @ q["n"][n] + q["nb"][n]))) for n, k in turns)
+
+
+def test_attention_scores_by_a_plain_pass(small):
+    m, text, start, stop = small
+    got = m.log10(text, start, stop)
+    want = [plain_log10(m, text[a:b], p) for a, b in zip(start, stop, strict=True) for p in range(b - a)]
+    assert np.allclose(got, want, atol=1e-4)
+    total = [sum(10 ** plain_log10(m, np.append(text[:p], k).astype(np.int32), p) for k in range(7)) for p in (0, 3, 40)]
+    assert total == pytest.approx([1, 1, 1])
+
+
+def test_attention_gradients(small, monkeypatch):
     from palimpsest.llm import attention as A
 
     monkeypatch.setattr(A, "_F", np.float64)
-    m, rng = A.Attention(), np.random.default_rng(0)
+    m, text, start, stop = small
+    before = m.p
     m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
-    w = rng.integers(0, A.CLASSES, (3, A.WINDOW + 1))
-    _, g = m.loss(w[:, :-1], w[:, 1:])
+    x, there, at, counts = next(m.inputs(text, start, stop))
+    batch, rng = (x, there, text[at], counts), np.random.default_rng(3)
+    _, g = m.loss(*batch)
     for k in m.p:
-        at = (w[0, 3], 2) if k == "e" else tuple(rng.integers(0, s) for s in m.p[k].shape)
+        at = tuple(rng.integers(0, s) for s in m.p[k].shape)
         both = []
         for e in (1e-5, -2e-5):
             m.p[k][at] += e
-            both.append(m.loss(w[:, :-1], w[:, 1:])[0])
-        assert (both[0] - both[1]) / 2e-5 == pytest.approx(g[k][at], abs=1e-6)
+            both.append(m.loss(*batch)[0])
+        assert (both[0] - both[1]) / 2e-5 == pytest.approx(g[k][at], abs=1e-6), k
+    m.p = before
 
 
-def test_windows_score_each_class_once():
-    from palimpsest.llm import attention as A
+def test_windows_hold_each_target_once(small):
+    m, text, start, stop = small
+    seen = np.concatenate([at[counts] for _, _, at, counts in m.inputs(text, start, stop)])
+    assert sorted(seen.tolist()) == list(range(200))
+    plain = m.log10(text, start, stop)
+    for p in range(60, 100):  # half a window before a place always matters to it
+        other = text.copy()
+        other[p - 16] = (other[p - 16] + 1) % 7
+        assert m.log10(other, start, stop)[p] != plain[p]
+
+
+def test_spelling_is_a_distribution():
+    """Over all words of up to three subwords of one first id, what is left goes to longer ones."""
+    first, last = np.array([97, 98, 97, 0]), np.array([97, 98, 98, 0])
+    joints = np.zeros((256, 257))
+    joints[97, 98], joints[98, 256], joints[97, 256] = 3, 5, 60
+    s = lm.Spelling(np.array([10.0, 4, 0, 2]), np.array([2.0, 1, 0, 1]), np.array([0, 3.0, 1, 0]), joints, first, last)
+    words = [[0, *more] for n in range(5) for more in product(range(3), repeat=n)]
+    counts = np.array([7.0 if w == [0] else 3.0 if w == [0, 1] else 0 for w in words])
+    assert 0.97 < (10 ** s.rest(words, counts)).sum() <= 1 + 1e-9
 
-    m, rng = A.Attention(), np.random.default_rng(1)
-    text = rng.integers(0, A.CLASSES, 200)
-    start, stop = np.array([0, 5, 150]), np.array([5, 150, 200])
-    got = m.log10(text, start, stop)
-    x = np.concatenate([[A.CLASSES], text[5:36]])[None]
-    logits = m.forward(x)[0][0]
-    want = logits[np.arange(32), text[5:37]] - np.log(np.exp(logits).sum(1))
-    assert np.allclose(got[5:37] * np.log(10), want, atol=1e-4) and (got < 0).all()
+
+def test_language_model_beats_the_base(spark):
+    """Context tells which of two vocabularies a document is written in; held-out documents too."""
+    rnd = random.Random(9)
+    kinds = [[f"{a}{rnd.randrange(100)}{x}" for x in range(60)] for a in ("ka", "zu")]
+    rows = [(i, " ".join(rnd.choices(kinds[i % 2], k=rnd.randrange(40, 120)))) for i in range(400)] + [(None, None), (7000, ""), (7001, "ka " * 3)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    some = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert len(some) > 30 and np.mean([r.score > r.base_score for r in some]) > 0.95
+    assert np.mean([(r.score - r.base_score) / r.n_tokens for r in some]) > 0.15
 
 
 def test_secrets(spark):
@@ -369,39 +431,3 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     assert len({plain_fingerprint(r.text) for r in got}) == len(got) == len({plain_fingerprint(t) for _, t, _ in rows}) == 25
     ids = {r.text: r.doc_id for r in got}
     assert [ids[word(i)] for i in (0, 1, 100, 101, 102, 103)] == [7, None, 1, 0, 1, 5]
-
-
-def test_every_class_sees_half_a_window():
-    from palimpsest.llm import attention as A
-
-    m, text = A.Attention(), np.random.default_rng(2).integers(0, A.CLASSES - 1, 200)
-    start, stop = np.array([0]), np.array([200])
-    plain = m.log10(text, start, stop)
-    for p in range(40, 100):
-        other = text.copy()
-        other[p - 15] = (other[p - 15] + 1) % (A.CLASSES - 1)
-        assert m.log10(other, start, stop)[p] != plain[p]
-
-
-def test_training_windows_cover_every_subword():
-    s = lm.Scorer(np.ones(500), 499)
-    for n in (0, 5, 32, 33, 3000):
-        ids = np.random.default_rng(n).integers(0, 499, n).tolist()
-        w, c = s.windows([ids], None), [*(s.of * lm.SLOTS + s.slot)[[*ids, 499]]]
-        assert len(w) == max(1, -(-(n + 1) // 32)) and w[0][1 : n + 2].tolist() == c[:32]
-        assert sorted({*np.concatenate(w[:, 1:]).tolist()}) == sorted(set(c)) and w[-1][-1] == s.of[499] * lm.SLOTS
-    before = {k: x.copy() for k, x in s.model.p.items()}
-    s.model.train(w, once=True)
-    assert all((s.model.p[k] != before[k]).any() for k in ("e", "q", "v", "w"))
-
-
-def test_context_tells_ids_of_a_class_apart():
-    counts = np.ones(400)
-    counts[:80] = 1000
-    s = lm.Scorer(counts, 399)
-    a, b = np.flatnonzero(s.of == s.of[100])[:2].tolist()  # two ids of one group
-    texts = [[0, a] * 16, [1, b] * 16]
-    w = s.windows(texts)
-    s.model.train(w, steps=200)
-    p = s.score([[0], [1], [a], [b]], np.ones(5), 1000, [np.array([0, 2] * 16), np.array([0, 3] * 16)])
-    assert p[0] > p[1] + 8
