@@ -278,8 +278,8 @@ def spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
         several = alike.filter("n > 1").select("g", "u1", "u2", salt)
         members = dealt.filter("ask").select("g", "u1", "u2", *bounds, F.pmod("c1", F.lit(16)).cast("int").alias("salt"))
         results.append(scratch.save(members.join(several, ["g", "u1", "u2", "salt"]).select(bounds), f"settled-{turn}"))
-        sizes = alike.groupBy("g").agg(one.alias("m")).filter("m > 1")
-        cuts = alike.join(sizes, "g").select("g", *bounds, "m", (F.col("ask") & (F.col("n") == 1)).alias("ask"), "bytes")
+        sizes = alike.groupBy("g").agg(one.alias("m")).filter("m > 1").select("g", "m", salt)
+        cuts = alike.withColumn("salt", F.pmod("u1", F.lit(16)).cast("int")).join(sizes, ["g", "salt"]).select("g", *bounds, "m", (F.col("ask") & (F.col("n") == 1)).alias("ask"), "bytes")
         cuts = scratch.save(cuts, f"cuts-{turn}", compression="zstd")
     result = results[0].select(bounds)
     for r in results[1:]:

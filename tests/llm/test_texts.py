@@ -393,10 +393,46 @@ def test_secrets(spark):
     assert "hunter2" not in hidden[2] and "é😀" in hidden[2]
 
 
+def test_random_keys_are_found_and_words_are_not(spark):
+    rnd, signs = random.Random(13), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rnd.choice(a) for _ in range(n)) for a in (signs + "0123456789", signs, signs + "0123456789+/") for n in (24, 40) for _ in range(40)]
+    plain = ["some-path/with/words-only-2024", "getHTTPServerConnectionTimeout", "CONSTANT_NAME_OF_A_LIMIT_32", "2024-01-02/2024-05-06-00000", "averyveryverylongwordindeed", "a/of/is/to/in/on/at/by/we"]
+    df = spark.createDataFrame([(i, f"x {w} y") for i, w in enumerate([*keys, *plain])], "doc_id long, text string")
+    n = [r.n_entropy for r in secrets.secret_report(df).orderBy("doc_id").collect()]
+    assert np.mean(n[: len(keys)]) > 0.93 and sum(n[len(keys) :]) == 0
+
+
+def test_secrets_around_base_spans_and_in_columns(spark):
+    key = "Zx9Qw7Lm3Kp5Rt8Vb2Nc4Ty6"
+    rows = [(1, f"{key}{'0a' * 9}{key} token={key}", key, "s"), (1, f"{key}{'0a' * 9}{key} token={key}", key, "s"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans string, `found.x` string")
+    got = secrets.redact(df)
+    assert got.columns == df.columns and {r.text for r in got.collect()} == {"[SECRET][SECRET][SECRET] [SECRET]", None}
+    assert [r.secret_spans for r in got.collect()] == [key, key, None]  # only the text is masked
+    report = secrets.secret_report(df).collect()
+    assert len(report) == 3 and [r.n_entropy for r in report if r.doc_id] == [2, 2]
+    assert secrets.redact(df.limit(0)).count() == secrets.secret_report(df.limit(0)).count() == 0
+
+
+def test_secrets_of_long_texts(spark):
+    """Work grows with the spans, not with their square."""
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        t = " ".join(f"é {i:016x} secret={i:012d}" for i in range(n))
+        df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+        start = time.time()
+        assert secrets.secret_report(df).first().n_hex == n
+        assert secrets.redact(df).first().text == " ".join(["é [SECRET] [SECRET]"] * n)
+        took.append(time.time() - start)
+    assert took[1] < 8 * 2.5 * max(took[0], 0.5)
+
+
 def test_entropy_of_windows(spark):
     rnd = random.Random(8)
     some = ["".join(rnd.choice("abcdef0123456789ABCXYZ") for _ in range(rnd.randrange(20, 45))) for _ in range(30)]
-    got = [r.b for r in spark.createDataFrame([(w,) for w in some], "w string").select(F.expr(secrets._bits("w")).alias("b")).collect()]
+    got = [r.b for r in spark.createDataFrame([(w,) for w in some], "w string").select(secrets._bits(F.col("w")).alias("b")).collect()]
     def bits(w):
         return max(-sum(c / 20 * math.log2(c / 20) for c in Counter(w[i : i + 20]).values()) for i in range(len(w) - 19))
     assert got == pytest.approx([bits(w) for w in some])
