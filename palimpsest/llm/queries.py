@@ -12,46 +12,56 @@ from .common import held_out, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null and empty texts: no ids. Repeated rows each give a row, an empty table none."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a piece. Null and empty texts are one piece of one id. Repeated rows are packed each, an empty table gives none."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Texts without words, null ones too, are one component. Null ids count last; an empty table gives none."""
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null texts and texts without a letter: ``und`` and 0. Rows without an id aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(~held_out("doc_id", 4)).select("doc_id", "text", "lang"))
     return language.predict(docs, model, held_out("doc_id", 4).alias("held_out"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null texts: empty. Repeated rows are copies of each other; an empty table gives none."""
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector. Null, zero and non-finite vectors and rows without an id link with nothing; an empty table gives none."""
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null texts: empty, with a score. Rows without an id aren't held out; an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.predict(docs, model, held_out("doc_id", 4).alias("held_out"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null texts: one end. Rows without an id aren't held out; an empty table gives none."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five rows a query. Null and non-finite vectors take no part; repeated rows are repeated candidates and one query."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null texts: no spans. Repeated rows each give a row, an empty table none."""
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 

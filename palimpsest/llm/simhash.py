@@ -166,11 +166,11 @@ def without_near_duplicates(docs: DataFrame, scratch: Scratch | None = None) ->
     by_doc = scratch.save(fingerprints(docs.select("doc_id", "text", hashes[0].alias("k"), hashes[1].alias("t")), carry=("doc_id", "k", "t")), "fingerprints")
     rooted = _rooted(by_doc, F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "t", "k")), scratch)
     first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("__k"), F.col("first.t").alias("__t"))
-    row = F.struct(*(docs[c] for c in docs.columns))
-    kept = docs.select(row.alias("__row"), F.xxhash64(*docs.columns).alias("__all"), hashes[0].alias("__k"), hashes[1].alias("__t")).join(first, ["__k", "__t"], "left_semi")
+    every = [docs[f"`{c}`"] for c in docs.columns]
+    kept = docs.select(F.struct(*every).alias("__row"), F.xxhash64(*every).alias("__all"), hashes[0].alias("__k"), hashes[1].alias("__t")).join(first, ["__k", "__t"], "left_semi")
     return kept.groupBy("__k", "__t").agg(F.min_by("__row", "__all").alias("__row")).select("__row.*")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id."""
+    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row; cases as in near_duplicates."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

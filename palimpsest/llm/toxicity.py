@@ -201,14 +201,16 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn ``toxic`` from labelled documents outside the held-out fold, ``sample`` of them at most, by hash.
 
-    A document with several labels counts as toxic if one says so; null labels don't count.
+    A document with several labels counts as toxic if one says so; null labels and ids don't count. Of rows that share an
+    id the least text counts, null texts as empty ones; other columns are ignored. Without labels of both kinds the model
+    is a constant, 0 for empty tables.
     """
     ship(docs.sparkSession)
     known = labels.filter(~held_out("doc_id", 4)).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # its size is bounded by the parameter
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     # the texts of the sample are learned from in one task; the driver gets the model
-    rows = rows.dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True))
@@ -221,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def predict(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
     """doc_id, more columns, score (0 to 1) and predicted (1 from LIMIT on) for every row, from its text alone.
 
-    Null texts count as empty; repeated rows each give a row.
+    Null texts count as empty; repeated rows each give a row, an empty table gives none. Texts of any length are read
+    whole; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -240,7 +243,10 @@ def predict(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that the model doesn't call toxic, with their columns."""
+    """The rows that the model doesn't call toxic, with all their columns, whatever their names.
+
+    Null texts count as empty; each of several repeated rows stays or goes as its text does.
+    """
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
