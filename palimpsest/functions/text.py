@@ -38,12 +38,13 @@ def inline_comments(x: Column | str) -> Column:
 
 
 def annotations(x: Column | str) -> Column:
-    """Change and number of every annotation: a tag may name a version or not, and several numbers."""
+    """Change, number and version of every annotation: a tag may name a version (else null) and several numbers."""
+    named = lambda t: F.nullif(F.lower(F.regexp_extract(t, r"^\[\w+ in (?!EIP)([^:\]]+)", 1)), F.lit(""))
     per_tag = F.transform(
         tags(x),
         lambda t: F.transform(
             F.regexp_extract_all(t, F.lit(r"EIP-?(\d+)"), F.lit(1)),
-            lambda n: F.struct(F.lower(F.regexp_extract(t, r"^\[(\w+)", 1)).alias("change"), n.cast("int").alias("number")),
+            lambda n: F.struct(F.lower(F.regexp_extract(t, r"^\[(\w+)", 1)).alias("change"), n.cast("int").alias("number"), named(t).alias("fork")),
         ),
     )
     return F.array_distinct(F.flatten(per_tag))
@@ -85,6 +86,12 @@ def references(code: Column | str, names: Column | None = None) -> Column:
     return F.array_sort(F.filter(found, lambda n: ~((n == F.upper(n)) & n.contains("_"))))
 
 
+def plain_type(x: Column | str) -> Column:
+    """A type's own name without the generic around it or what follows a comma."""
+    bare = F.regexp_replace(_c(x), r"^(List|Optional|Sequence|Vector|ByteList|ByteVector|Bitlist|Bitvector)\[", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\]$", ""), ",.*", ""))
+
+
 def schema_name(ref: Column | str) -> Column:
     return F.substring_index(_c(ref), "/", -1)
 

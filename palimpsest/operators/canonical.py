@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Priority of sources of one name; a source not listed counts as UNKNOWN.
-PRIORITY = {"consensus-specs": 1, "execution-specs": 2, "execution-apis": 3, "beacon-apis": 4, "builder-specs": 5, "relay-specs": 6, "remote-signing-api": 7}
+PRIORITY = {"consensus-specs": 1, "execution-specs": 2, "builder-specs": 3, "relay-specs": 4, "beacon-APIs": 5, "execution-apis": 6, "remote-signing-api": 7}
 UNKNOWN = 99
 
 
 def priority_of(source: Column, priority: dict[str, int] = PRIORITY, unknown: int = UNKNOWN) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, source), F.lit(unknown))
+    """Priority of a source by the last part of its name, letter case apart."""
+    table = F.create_map(*[F.lit(x) for k, v in priority.items() for x in (k.lower(), v)])
+    return F.coalesce(F.try_element_at(table, F.lower(F.substring_index(source, "/", -1))), F.lit(unknown))
 
 
 def canonical_source(df: DataFrame, keys: list[str], source: str, priority: Column, mode: str = "priority", has_code: Column | None = None) -> DataFrame:
@@ -35,14 +36,16 @@ def merge_sources(df: DataFrame, keys: list[str], rank: Column, fill: list[str],
 
 def sources_distinct(df: DataFrame, keys: list[str], url: str, rank: Column) -> DataFrame:
     """Of rows of a key with one url the first by rank."""
-    w = Window.partitionBy(*keys, url).orderBy(rank)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    rest = [c for c in df.columns if c not in (*keys, url)]
+    first = df.groupBy(*keys, url).agg(F.min_by(F.struct(*rest), rank).alias("__x"))
+    return first.select(*keys, url, *[F.col(f"__x.{c}") for c in rest])
 
 
 def collision_union(items: DataFrame, extra: DataFrame, name: str, rank: Column) -> DataFrame:
     """``items`` and those of ``extra`` whose name is new, the first by rank of each name."""
     fresh = extra.join(items.select(name).distinct(), name, "left_anti")
-    first = fresh.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(rank))).filter("__n = 1").drop("__n")
+    rest = [c for c in fresh.columns if c != name]
+    first = fresh.groupBy(name).agg(F.min_by(F.struct(*rest), rank).alias("__x")).select(name, *[F.col(f"__x.{c}") for c in rest])
     return items.unionByName(first, allowMissingColumns=True)
 
 

@@ -17,6 +17,44 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -
     return both.withColumn("action", action).filter("action IS NOT NULL").drop("__a", "__b")
 
 
+def index_diff(old: DataFrame, new: DataFrame, keys: list[str], fields: str = "fields", others: tuple[str, ...] = ("code", "params")) -> DataFrame:
+    """What a changed index adds, removes and modifies: action, fields_* and ``{other}_changed`` for each key that differs.
+
+    Missing and empty values are alike. Fields are compared by name, type and comment, other columns as a whole.
+    """
+    a = old.select(*keys, F.struct(fields, *others).alias("__a"))
+    b = new.select(*keys, F.struct(fields, *others).alias("__b"))
+    both = a.join(b, keys, "full_outer").withColumns({"__old": F.col(f"__a.{fields}"), "__new": F.col(f"__b.{fields}")})
+    out = field_diff(both, "__old", "__new")
+
+    def bare(side: str, c: str) -> Column:
+        return F.coalesce(F.nullif(F.to_json(F.struct(F.col(f"{side}.{c}").alias("x"))), F.lit('{"x":[]}')), F.lit("{}"))
+
+    def same(c: str) -> Column:
+        return F.regexp_replace(bare("__a", c), r'^\{"x":""\}$', "{}") == F.regexp_replace(bare("__b", c), r'^\{"x":""\}$', "{}")
+
+    out = out.withColumns({f"{c}_changed": ~same(c) for c in others})
+    differs = (F.size("fields_added") > 0) | (F.size("fields_removed") > 0) | (F.size("fields_modified") > 0)
+    for c in others:
+        differs |= F.col(f"{c}_changed")
+    action = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(differs, "modified")
+    return out.withColumn("action", action).filter("action IS NOT NULL").drop("__a", "__b", "__old", "__new")
+
+
+def change_summary(action: Column, added: Column, removed: Column) -> Column:
+    """A change in words: the action, and how many fields came and went, if any did."""
+    def part(n: Column, sign: str) -> Column:
+        return F.when(n > 0, F.concat(F.lit(f", {sign}"), n.cast("string"), F.lit(" field"))).otherwise("")
+
+    return F.concat(action, part(F.size(added), "+"), part(F.size(removed), "-"))
+
+
+def first_names(names: Column, n: int = 10) -> Column:
+    """The first names, and in words how many more there are."""
+    more = F.concat(F.lit("and "), (F.size(names) - n).cast("string"), F.lit(" more"))
+    return F.when(F.size(names) > n, F.array_append(F.slice(names, 1, n), more)).otherwise(names)
+
+
 def field_diff(df: DataFrame, old: str, new: str, compare: list[str] = ["type", "comment"]) -> DataFrame:  # noqa: B006
     """Names of fields added, removed and modified between two arrays of structs with a name; no join, no explode."""
     names = lambda c: F.transform(F.coalesce(F.col(c), F.expr("array()").cast(df.schema[c].dataType)), lambda x: x["name"])
@@ -56,19 +94,23 @@ def closed(indexed: DataFrame, open_: DataFrame, key: str) -> DataFrame:
 def _matches(old: list[str], new: list[str]) -> list[tuple[int, int]]:
     """Pairs of a longest common subsequence; where both ways are as long, the old side steps back first."""
     m, n = len(old), len(new)
-    best = np.zeros((m + 1, n + 1), np.int32)
     code = {s: i for i, s in enumerate(dict.fromkeys([*old, *new]))}
     b = np.array([code[s] for s in new], np.int64)
-    for i, s in enumerate(old, 1):
+    # two rows of lengths at a time; of each place one bit is kept, whether the way back goes up
+    above = np.zeros(n + 1, np.int32)
+    up = np.zeros((m, -(-n // 8)), np.uint8)
+    for i, s in enumerate(old):
         # in a row, each place has the greatest of what stands above and what a match adds, up to there
-        row = np.maximum(best[i - 1, 1:], np.where(b == code[s], best[i - 1, :-1] + 1, 0))
-        best[i, 1:] = np.maximum.accumulate(row) if n else row
+        row = np.zeros(n + 1, np.int32)
+        np.maximum.accumulate(np.maximum(above[1:], np.where(b == code[s], above[:-1] + 1, 0)), out=row[1:])
+        up[i] = np.packbits(above[1:] >= row[:-1])
+        above = row
     out, i, j = [], m, n
     while i and j:
         if old[i - 1] == new[j - 1]:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif best[i - 1, j] >= best[i, j - 1]:
+        elif up[i - 1, j - 1 >> 3] >> (7 - (j - 1 & 7)) & 1:
             i -= 1
         else:
             j -= 1

@@ -45,6 +45,11 @@ def ranked(df: DataFrame, name: str, query: str) -> DataFrame:
     return scored.orderBy(F.desc("score"), name)
 
 
+def any_contains(columns: list[Column], query: str) -> Column:
+    """Whether the texts of several columns, joined by spaces, have the query, letter case apart; all do if it is empty."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])).contains(query.lower())
+
+
 def capped(df: DataFrame, order: list[Column | str], n: int) -> tuple[DataFrame, DataFrame]:
     """The first n rows, and a row with how many more there are."""
     return df.orderBy(*order).limit(n), df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("overflow"))

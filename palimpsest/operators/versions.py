@@ -67,13 +67,17 @@ def latest_version(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__x")).select(*keys, *[F.col(f"__x.{c}") for c in rest])
 
 
-def as_of(probes: DataFrame, versions: DataFrame, keys: list[str], at: str, order: str, value: str, name: str, tie: str | None = None) -> DataFrame:
-    """Each probe with the value of the last version at or before it, by union and carry-forward, not a range join."""
+def as_of(probes: DataFrame, versions: DataFrame, keys: list[str], at: str, order: str, value: str, name: str, tie: str | None = None, bucket: Column | None = None) -> DataFrame:
+    """Each probe with the value of the last version at or before it, by union and carry-forward, not a range join.
+
+    ``bucket`` is an expression over ``at`` that never decreases along it; a key with very many versions is then cut by it.
+    """
     both = versions.select(*keys, F.col(order).alias(at), *([F.col(tie)] if tie else []), F.struct(F.col(value).alias("v")).alias("__v"), F.lit(0).alias("__side"))
     ask = probes.withColumn("__p", F.struct(*probes.columns)).select(*keys, at, "__p", F.lit(1).alias("__side"))
     rows = both.unionByName(ask, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "__side", *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__f", F.last("__v", True).over(w)).filter("__side = 1").select("__p.*", F.col("__f.v").alias(name))
+    rows = rows.withColumn("__o", F.struct(at, "__side", *([F.col(tie)] if tie else []))).withColumn("__b", F.lit(0) if bucket is None else bucket).withColumnRenamed("__v", "__value")
+    found = _before(rows, keys, "__o", F.col("__value"), "__f", None if bucket is None else "__b", True, True)
+    return found.filter("__side = 1").select("__p.*", F.col("__f.v").alias(name))
 
 
 def introduced(df: DataFrame, keys: list[str], order: str, name: str = "introduced") -> DataFrame:
@@ -97,12 +101,17 @@ def previous_shown(df: DataFrame, keys: list[str], order: str, shown: Column, na
     return df.filter(shown).withColumn(name, F.lag(order).over(Window.partitionBy(*keys).orderBy(order)))
 
 
-def has_diff(df: DataFrame, keys: list[str], order: str, signature: Column) -> DataFrame:
+def has_diff(df: DataFrame, keys: list[str], order: str, signature: Column, bucket: str | None = None) -> DataFrame:
     """Whether a row's signature differs from that of the last version that has one; false if either is missing."""
-    out = _before(df.withColumn("__s", filled(signature)), keys, order, F.col("__s"), "__prev", None, True, False)
+    out = _before(df.withColumn("__s", filled(signature)), keys, order, F.col("__s"), "__prev", bucket, True, False)
     return out.withColumn("has_diff", F.coalesce(F.col("__s") != F.col("__prev"), F.lit(False))).drop("__prev", "__s")
 
 
+def has_content(df: DataFrame, keys: list[str], seq: str, target: int, present: Column) -> DataFrame:
+    """Keys with anything at a version or before it: what is carried forward to there."""
+    return df.filter((F.col(seq) <= target) & present).select(*keys).distinct()
+
+
 def ordered_forks(df: DataFrame, fork: str, seq: str, hidden: str | None = None) -> DataFrame:
     """Known versions by their place, unknown ones after them by name; hidden ones left out if named."""
     out = df.filter(~F.coalesce(F.col(hidden), F.lit(False))) if hidden else df

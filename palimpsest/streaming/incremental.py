@@ -10,19 +10,22 @@ from ..operators.diffing import stale
 from ..sources.tables import write_by
 
 
-def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str], by: str) -> StreamingQuery:
-    """Take in what is new under ``source`` and stop: rows whose keys the target has already are skipped.
+def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str], version: str, by: str, order: str | None = None) -> StreamingQuery:
+    """Take in what is new under ``source`` and stop: rows of a version that the target has already are skipped.
 
-    Each folder of the target that new rows belong to is written anew with its old rows, so a batch that is run
+    A new version replaces all rows that the target has of its key, as an overlay of a pull request is written anew when
+    its head moves. Where a batch brings several versions of a key, the one with the greatest ``order`` (or ``version``)
+    counts. Each folder of the target that new rows belong to is written anew with its other rows, so a batch that is run
     again after a failure changes nothing.
     """
     def upsert(batch: DataFrame, _: int) -> None:
         there = spark.read.schema(batch.schema).parquet(target) if _exists(spark, target) else batch.limit(0)
-        fresh = stale(batch.dropDuplicates(keys), there, keys)
-        kept = there.join(fresh.select(by).distinct(), by, "left_semi")
+        last = batch.groupBy(*key).agg(F.max_by(version, F.struct(order or version, version)).alias(version))
+        fresh = stale(batch.join(last, [*key, version]).distinct().select(*batch.columns), there, [*key, version]).select(*batch.columns)
+        kept = there.join(fresh.select(by).distinct(), by, "left_semi").join(fresh.select(*key).distinct(), key, "left_anti").select(*batch.columns)
         # the target can't be read and overwritten in one plan, so the folders' new content is written beside it first
         write_by(kept.unionByName(fresh), f"{target}.next", by)
-        write_by(spark.read.schema(batch.schema).parquet(f"{target}.next").join(fresh.select(by).distinct(), by, "left_semi"), target, by)
+        write_by(spark.read.schema(batch.schema).parquet(f"{target}.next").join(fresh.select(by).distinct(), by, "left_semi").select(*batch.columns), target, by)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

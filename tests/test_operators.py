@@ -137,9 +137,11 @@ def test_catalog(spark, tmp_path):
     assert cat.lookup_type("Stat")["suggestions"] == ["State"] and "available" in cat.lookup_type("State", "v9")
     d = cat.diff_type("State", "v1", "v2")
     assert d["fields_added"] == ["c"] and d["code_changed"] and "fields_removed" not in d
-    assert {(r.name, r.change) for r in cat.what_changed("v2").collect()} == {("State", "modified")}
+    assert {(r.section, r.name, r.change, r.number) for r in cat.what_changed("v2").collect()} == {("item", "State", "modified", None), ("total", None, None, 3)}
+    assert cat.what_changed("nope")["available_forks"] == ["v1", "v2"] and "error" in cat.what_changed("pr-9") and "error" in cat.what_changed("pr-x")
+    assert cat.lookup_endpoint("x").count() == cat.list_prs().count() == 0
     assert {r.name for r in cat.search("stat").collect()} == {"State"}
-    assert {(r.src, r.direction) for r in cat.trace_type("State").collect()} >= {("f", "used_by")}
+    assert {(r.section, r.spec, r.item, r.detail) for r in cat.trace_type("State").collect()} >= {("used_by", "core", "f", None), ("defined_in", "core", "class", "v1,v2"), ("canonical_source", "core", None, None)}
     built = items.filter("name = 'f'").withColumn("code", F.concat("code", F.lit("  # x")))
     over = cat.index_pr("core", 7, built.unionByName(items.filter("name <> 'f'")))
     cat.overlays = over
@@ -148,18 +150,31 @@ def test_catalog(spark, tmp_path):
     assert cat.reindex({"core": lambda: items}, ["core", "nope"])[1] == {"core": "ok", "nope": "unknown spec"}
 
 
+def test_priorities():
+    assert canonical.PRIORITY == {"consensus-specs": 1, "execution-specs": 2, "builder-specs": 3, "relay-specs": 4, "beacon-APIs": 5, "execution-apis": 6, "remote-signing-api": 7}
+
+
+def test_line_diff_of_long_texts():
+    old = [f"line {i % 5000}" for i in range(6000)]
+    new = [x for i, x in enumerate(old) if i % 7] + ["end"]
+    ops = diffing.line_ops(old, new)
+    assert sum(o["type"] == "equal" for o in ops) == sum(1 for i in range(6000) if i % 7)
+
+
 def test_incremental_refresh(spark, tmp_path):
     src, target = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
     def put(name, rows):
         (src / name).write_text("\n".join(json.dumps(r) for r in rows))
     def run():
-        incremental.refresh(spark, str(src), "pr int, sha string, spec string", target, str(tmp_path / "cp"), ["pr", "sha"], "spec").awaitTermination()
+        incremental.refresh(spark, str(src), "pr int, sha string, spec string", target, str(tmp_path / "cp"), ["pr"], "sha", "spec").awaitTermination()
         return sorted((r.pr, r.sha, r.spec) for r in spark.read.parquet(target).collect())
     put("a.json", [{"pr": 1, "sha": "x", "spec": "s"}, {"pr": 2, "sha": "y", "spec": "t"}])
     assert run() == [(1, "x", "s"), (2, "y", "t")]
     put("b.json", [{"pr": 1, "sha": "x", "spec": "s"}, {"pr": 1, "sha": "z", "spec": "s"}])
-    assert run() == [(1, "x", "s"), (1, "z", "s"), (2, "y", "t")]
+    assert run() == [(1, "z", "s"), (2, "y", "t")]  # an overlay is written anew by its pull request
+    put("c.json", [{"pr": 2, "sha": "y", "spec": "t"}])
+    assert run() == [(1, "z", "s"), (2, "y", "t")]
 
 
 def test_lookup_of_an_item_with_very_many_versions_and_users(spark, tmp_path):
