@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,12 @@ def facet_counts(df: DataFrame, facets: list[str]) -> DataFrame:
     return grouped.select(facet.alias("facet"), value.alias("value"), "n")
 
 
+def by_count(df: DataFrame, facet: str) -> DataFrame:
+    """(value, n, place) of a facet's values, the most frequent first; facets have few values."""
+    counts = df.groupBy(F.col(facet).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+
+
 def pivot_counts(df: DataFrame, group: str, bucket: Column, values: list[str]) -> DataFrame:
     """A count column for each bucket; the list of buckets is fixed, so no extra pass is needed."""
     return df.groupBy(group).agg(*[F.count_if(bucket == v).alias(f"n_{v}") for v in values], F.count(F.lit(1)).alias("n_total"))

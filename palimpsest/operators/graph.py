@@ -17,6 +17,17 @@ def cross_refs(edges: DataFrame, defined: DataFrame, canonical: DataFrame) -> Da
     return named.groupBy(F.col("spec").alias("from_spec"), F.col("src").alias("from_item"), "to_spec", F.col("dst").alias("to_type")).agg(F.array_join(F.array_sort(F.collect_set("fork")), ",").alias("forks"))
 
 
+def links_by_name(rows: DataFrame, name: str, spec: str, fork: str) -> DataFrame:
+    """cross_refs where every spec that has a name but the least one refers to that one by it; rows are read once.
+
+    A name's row holds the specs that have it with their forks, so it grows with the specs, not with the rows.
+    """
+    each = rows.groupBy(name, spec).agg(F.collect_set(fork).alias("forks"))
+    by = each.groupBy(name).agg(F.collect_list(F.struct(F.col(spec).alias("spec"), "forks")).alias("by"), F.min(spec).alias("to_spec"))
+    links = by.select(F.col(name).alias("name"), "to_spec", F.explode("by").alias("x")).filter("x.spec <> to_spec")
+    return links.select(F.col("x.spec").alias("from_spec"), F.col("name").alias("from_item"), "to_spec", F.col("name").alias("to_type"), F.array_join(F.array_sort("x.forks"), ",").alias("forks"))
+
+
 def boundary_map(links: DataFrame, source: str, target: str) -> DataFrame:
     """Counts of links between each two sides, with the boundary's name."""
     return links.filter(F.col(source) != F.col(target)).groupBy(source, target).agg(F.count(F.lit(1)).alias("n_links")).withColumn("boundary", F.concat_ws(" -> ", source, target))

@@ -112,6 +112,11 @@ def has_content(df: DataFrame, keys: list[str], seq: str, target: int, present:
     return df.filter((F.col(seq) <= target) & present).select(*keys).distinct()
 
 
+def place(fork: str, seq: str) -> Column:
+    """Place of a version in the order of ordered_forks, from 1; for version axes, which have some tens of rows."""
+    return F.row_number().over(Window.orderBy(F.col(seq).asc_nulls_last(), fork))
+
+
 def ordered_forks(df: DataFrame, fork: str, seq: str, hidden: str | None = None) -> DataFrame:
     """Known versions by their place, unknown ones after them by name; hidden ones left out if named."""
     out = df.filter(~F.coalesce(F.col(hidden), F.lit(False))) if hidden else df

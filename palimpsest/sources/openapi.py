@@ -98,6 +98,14 @@ def parse_types(text: str, file: str, fork: str, kind: str = "class") -> Iterato
         yield (name, "enum" if "enum" in schema else kind, fork, file, schema.get("description"), fields, refs, code)
 
 
+def type_versions(rows: DataFrame, seq: str) -> DataFrame:
+    """Types over the versions that list them: new where a name is first seen, else modified."""
+    from pyspark.sql import functions as F
+
+    first = rows.groupBy("name").agg(F.min(seq).alias("__first"))
+    return rows.join(first, "name").withColumns({"is_new": F.col(seq) == F.col("__first"), "is_modified": F.col(seq) > F.col("__first")}).drop("__first")
+
+
 def extract(documents: DataFrame, part: str = "paths", fork_of: dict[str, str] | None = None) -> DataFrame:
     """Rows of documents (spec, root, files): ``files`` maps paths to texts, so references resolve within a row.
 

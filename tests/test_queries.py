@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from palimpsest.plans.queries import QUERIES
+from palimpsest.plans.queries import QUERIES, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,7 +19,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", queries())
 def test_query(spark, db, name):
     run, sql = QUERIES[name]
     df = run(spark, SF)
