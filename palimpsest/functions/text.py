@@ -171,6 +171,45 @@ def curl(method: Column | str, base: Column | str, path: Column | str, values: d
     return F.concat(F.lit("curl -X "), F.upper(_c(method)), F.lit(extra + " '"), _c(base), filled, F.lit("'"))
 
 
+#: Versions that are live, ports of local services, and values shown for path parameters.
+DEPLOYED = ("phase0", "altair", "bellatrix", "capella", "deneb", "electra", "fulu", "frontier", "homestead", "byzantium", "constantinople", "istanbul", "berlin", "london", "paris", "shanghai", "cancun", "prague", "osaka")
+PORTS = {"beacon-apis": 5052, "builder-specs": 18550, "relay-specs": 18550, "remote-signing-api": 9000}
+PATH_VALUES = {
+    "block_id": "head",
+    "state_id": "head",
+    "slot": "1",
+    "epoch": "1",
+    "pubkey": "0x93247f2209abcacf57b75a51dafae777f9dd38bc7053d1af526f220a7489a6d3a2753e5f3e8b1cfe39b56f43611df74a",
+    "parent_hash": "0xcf8e0d4e9587369b2301d0790347320302cc0943d5a1884560367e8208d920f2",
+    "peer_id": "16Uiu2HAmEmBCWbHcqLJkYbS7MsrMNhpvMXsNGYJCkCRnBGPk9dQp",
+    "validator_id": "0",
+    "committee_index": "0",
+    "sync_committee_index": "0",
+    "blob_id": "0",
+    "block_root": "0xcf8e0d4e9587369b2301d0790347320302cc0943d5a1884560367e8208d920f2",
+}
+
+
+def undeployed(fork: Column | str) -> Column:
+    """Whether a version isn't live yet, so that its status is shown."""
+    return ~_c(fork).isin(*DEPLOYED)
+
+
+def request_command(method: Column, spec: Column, path: Column, values: dict[str, str], query: Column, ssz: Column, body: Column) -> Column:
+    """A curl command over several lines: values given fill the path's braces, then PATH_VALUES, else the name in angles."""
+    filled = path
+    for k, v in (PATH_VALUES | values).items():
+        filled = F.replace(filled, F.lit("{" + k + "}"), F.lit(v))
+    filled = F.regexp_replace(filled, r"\{([^}]+)\}", "<$1>")
+    port = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PORTS.items() for x in kv]), spec), F.lit(5052))
+    url = F.concat(F.lit("'http://localhost:"), port.cast("string"), filled, F.coalesce(F.concat(F.lit("?"), query), F.lit("")), F.lit("'"))
+    parts = F.concat_ws(
+        " \\\n  ", F.lit("curl"), F.when(method != "GET", F.concat(F.lit("-X "), method)), url, F.when(method.isin("POST", "PUT"), "-H 'Content-Type: application/json'"),
+        F.when(ssz, "-H 'Accept: application/json'"), F.when(body, "-d '{...}'"),
+    )
+    return F.concat(parts, F.when(ssz, "\n\n# For SSZ: -H 'Accept: application/octet-stream'").otherwise(""))
+
+
 def fork_from_suffix(name: Column | str, default: str = "phase0") -> Column:
     """The version that a type's name ends with, written with a capital after something else."""
     out = F.lit(default)

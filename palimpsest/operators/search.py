@@ -50,6 +50,20 @@ def any_contains(columns: list[Column], query: str) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])).contains(query.lower())
 
 
+def slim(df: DataFrame, columns: list[str], key: str = "key") -> DataFrame:
+    """Rows with ``json``: the columns that say something, the path from the key where it is missing, and whether there are examples."""
+    kinds = dict(df.dtypes)
+
+    def said(c: str) -> Column:
+        value = F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(key)) if c == "path" else F.col(c)
+        if kinds[c].startswith(("array", "map")):
+            return F.when(F.size(value) > 0, value).alias(c)
+        return (F.nullif(value, F.lit("")) if kinds[c] == "string" else value).alias(c)
+
+    examples = F.when(F.col("has_examples"), True).alias("has_examples")
+    return df.withColumn("json", F.to_json(F.struct(*map(said, columns), examples)))
+
+
 def capped(df: DataFrame, order: list[Column | str], n: int) -> tuple[DataFrame, DataFrame]:
     """The first n rows, and a row with how many more there are."""
     return df.orderBy(*order).limit(n), df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("overflow"))

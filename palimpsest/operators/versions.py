@@ -80,6 +80,19 @@ def as_of(probes: DataFrame, versions: DataFrame, keys: list[str], at: str, orde
     return found.filter("__side = 1").select("__p.*", F.col("__f.v").alias(name))
 
 
+def normalized(df: DataFrame, keys: list[str], order: Column, columns: list[str]) -> DataFrame:
+    """Each key's last version, with empty texts for the columns that it lacks."""
+    last = latest_version(df.select(*keys, order.alias("__o"), *columns), keys, F.col("__o"))
+    return last.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+
+
+def first_domain(df: DataFrame, keys: list[str], order: str, domain: str, other: str = "other") -> DataFrame:
+    """Where each key is introduced, and its first domain that isn't ``other``."""
+    says = F.col(domain) != other
+    first = F.min_by(F.when(says, F.col(domain)), F.when(says, F.col(order)))
+    return df.groupBy(*keys).agg(F.min(order).alias("introduced"), F.coalesce(first, F.lit(other)).alias(domain))
+
+
 def introduced(df: DataFrame, keys: list[str], order: str, name: str = "introduced") -> DataFrame:
     return df.groupBy(*keys).agg(F.min(order).alias(name))
 

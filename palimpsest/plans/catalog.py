@@ -16,7 +16,7 @@ from ..functions import code as code_functions
 from ..functions import text
 from ..functions.code import parse_fields
 from ..operators import annotate, canonical, diffing, graph, search, versions
-from ..sources.tables import write_by
+from ..sources.tables import json_rows, write_by
 
 
 EDGES = "spec string, src string, fork string, dst string"
@@ -52,6 +52,11 @@ class Catalog:
         for name, df in (("items", self.items), ("endpoints", self.endpoints), ("constants", self.constants), ("prs", self.prs), ("overlays", self.overlays)):
             if df is not None:
                 write_by(df, f"{path}/{name}", "spec")
+        write_by(self.cross_refs(), f"{path}/cross_refs", "from_spec")
+
+    def export(self, path: str) -> None:
+        """Item versions as lines of JSON, without empty values."""
+        json_rows(self.items).write.mode("overwrite").text(path)
 
     # what there is
 

@@ -13,6 +13,7 @@ from ..operators import annotate, canonical, diffing, search, versions
 from ..sources import markdown, metadata, openapi, pysource
 from ..sources.tables import json_rows, table
 
+from .catalog import build_items
 from .queries import query
 
 
@@ -430,3 +431,106 @@ def index_changes(s, d):
     new = p.filter("same OR m <> 1").select("name", pick.alias("fields"), F.when(~F.col("same") & (F.col("m") == 4), "other").otherwise("code").alias("code"), F.when(~F.col("same") & (F.col("m") == 5), F.array(F.lit("x"))).otherwise(none).alias("params"))
     out = diffing.index_diff(old, new, ["name"])
     return out.select("name", "action", *[F.array_join(c, ",").alias(c) for c in ("fields_added", "fields_removed", "fields_modified")], "code_changed", "params_changed", diffing.change_summary(F.col("action"), F.col("fields_added"), F.col("fields_removed")).alias("summary"))
+
+
+RULED = """# Core
+
+## Containers
+
+### `Thing<k>`
+
+```python
+class Thing<k>(Container):
+    slot: uint64  # [New in Deneb:EIP<k>]
+```
+
+## Helpers
+
+### Modified `run_<k>`
+
+```python
+def run_<k>(x: Thing<k>, y: int = 1) -> Slot:
+    return x.slot
+```
+"""
+
+
+@query("""select 'Thing' || p_partkey as name, 'class' as kind, 'containers' as domain, 'slot:uint64:[New in Deneb:EIP' || p_partkey || ']' as fields, '' as params, '' as return_type, 'new/' || p_partkey || '/deneb' as tags, true as is_new, true as marked_new, false as marked_modified, 'https://h/core.md#thing' || p_partkey as github_url from part
+union all select 'run_' || p_partkey, 'def', 'helpers', '', 'x:Thing' || p_partkey || ':|y:int:1', 'Slot', '', true, false, true, 'https://h/core.md#modified-run_' || p_partkey from part""")
+def built_items(s, d):
+    """Definitions of markdown files as the catalog's versions, with all that is read out of them."""
+    forks = s.createDataFrame([("v1", 0)], "fork string, fork_seq int")
+    items = build_items(markdown.extract(_files(s, d, RULED, "core.md")), forks, "core", {}, {"containers": "containers", "helpers": "helpers"}, "https://h")
+    tags = F.array_join(F.transform("eips", lambda e: F.concat_ws("/", e["change"], e["number"].cast("string"), e["fork"])), ",")
+    return items.select("name", "kind", "domain", _joined("fields", "name", "type", "comment"), _joined("params", "name", "type", "default"), "return_type", tags.alias("tags"), "is_new", "marked_new", "marked_modified", "github_url")
+
+
+@query("select p_partkey as k, case p_partkey % 3 when 0 then 'Slot' || p_partkey when 1 then 'Slot' || p_partkey else 'uint64' end as plain, case when p_partkey % 3 <> 2 and p_partkey % 2 = 0 then 'core' end as spec from part")
+def type_links(s, d):
+    """The spec that defines a type, its generics stripped."""
+    m = F.col("p_partkey") % 3
+    p = table(s, d, "part").select("p_partkey", text.plain_type(F.when(m == 0, _filled("List[Slot<k>, 4]")).when(m == 1, _filled("Optional[Slot<k>]")).otherwise("uint64")).alias("plain"))
+    items = table(s, d, "part").filter("p_partkey % 2 = 0").select(_filled("Slot<k>").alias("plain"), F.lit("core").alias("spec"))
+    return p.join(items, "plain", "left").select(F.col("p_partkey").alias("k"), "plain", "spec")
+
+
+@query("""select page_id, '{"method":"GET","path":"' || url || '"' || case when page_id % 2 = 0 then ',"tags":["a"]' else '' end || case when page_id % 3 = 0 then ',"has_examples":true' else '' end || '}' as json from pages""")
+def slim_endpoints(s, d):
+    """An endpoint's shown columns as JSON: empty ones left out, the path from the key where it is missing."""
+    p = table(s, d, "pages").select("page_id", F.lit("GET").alias("method"), F.when(F.col("page_id") % 2 == 0, F.col("url")).alias("path"), F.col("url").alias("key"), F.lit("").alias("summary"), F.when(F.col("page_id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("tags"), (F.col("page_id") % 3 == 0).alias("has_examples"))
+    return search.slim(p, ["method", "path", "summary", "tags"]).select("page_id", "json")
+
+
+@query("select n_nationkey as k, n_nationkey % 4 in (2, 3) as badge from nation")
+def status_badges(s, d):
+    forks = F.array(*map(F.lit, ("deneb", "osaka", "gloas", "eip1")))
+    return table(s, d, "nation").select(F.col("n_nationkey").alias("k"), text.undeployed(forks[F.col("n_nationkey") % 4]).alias("badge"))
+
+
+@query("select p_type as name, min(p_partkey) as introduced, coalesce(arg_min(p_brand, p_partkey) filter (where p_size % 3 <> 0), 'other') as domain from part group by 1")
+def introduced_domains(s, d):
+    """Where an item is first seen, and its first domain that says anything."""
+    p = table(s, d, "part").withColumn("domain", F.when(F.col("p_size") % 3 == 0, "other").otherwise(F.col("p_brand")))
+    return versions.first_domain(p, ["p_type"], "p_partkey", "domain").withColumnRenamed("p_type", "name")
+
+
+@query("select p_type as name, arg_max(coalesce(case when p_size % 2 = 0 then p_name end, ''), p_partkey) as value, '' as note, arg_max(p_brand, p_partkey) as section from part group by 1")
+def normalized_constants(s, d):
+    """The last version of a constant or alias, with empty texts for what it lacks."""
+    p = table(s, d, "part").select(F.col("p_type").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("value"), F.lit(None).cast("string").alias("note"), F.col("p_brand").alias("section"), "p_partkey")
+    return versions.normalized(p, ["name"], F.col("p_partkey"), ["value", "note", "section"])
+
+
+@query("""select p_partkey as k, case p_partkey % 2 when 0 then 'curl \\' || chr(10) || '  ''http://localhost:18550/eth/head/<x>?id=' || p_partkey || '''' else 'curl \\' || chr(10) || '  -X POST \\' || chr(10) || '  ''http://localhost:5052/eth/' || p_partkey || ''' \\' || chr(10) || '  -H ''Content-Type: application/json'' \\' || chr(10) || '  -H ''Accept: application/json'' \\' || chr(10) || '  -d ''{...}''' || chr(10) || chr(10) || '# For SSZ: -H ''Accept: application/octet-stream''' end as command from part""")
+def request_commands(s, d):
+    even = F.col("p_partkey") % 2 == 0
+    path = F.when(even, "/eth/{block_id}/{x}").otherwise(_filled("/eth/<k>"))
+    command = text.request_command(F.when(even, "GET").otherwise("POST"), F.when(even, "builder-specs").otherwise("unknown"), path, {}, F.when(even, F.concat(F.lit("id="), "p_partkey")), ~even, ~even)
+    return table(s, d, "part").select(F.col("p_partkey").alias("k"), command.alias("command"))
+
+
+@query("""select p_partkey as k, case p_partkey % 3 when 0 then 3 when 1 then 3 else 2 end :: bigint as n_equal, case p_partkey % 3 when 2 then 1 else 0 end :: bigint as n_change, case p_partkey % 3 when 1 then 1 else 0 end :: bigint as n_remove, case p_partkey % 3 when 0 then 0 else 1 end :: bigint as n_add from part""")
+def line_steps(s, d):
+    """Nothing changed; a line gone and another at the end; a line changed, another at the end; lines are compared stripped."""
+    m = F.col("p_partkey") % 3
+    old = F.when(m == 1, _filled("one\n<k>\n<n>\nx")).otherwise(_filled("one\n<k>\n<n>"))
+    new = F.when(m == 0, _filled(" one\n<k> \n<n>")).when(m == 1, _filled("<k>\n<n>\nx\nnew")).otherwise(_filled("one\n<k> changed\n<n>\nnew"))
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("k"), diffing.counted(diffing.line_diff(old, new)).alias("x"))
+    return rows.select("k", "x.*")
+
+
+@query("""with t as (select p_partkey as k, lower(p_name) as s from part), c as (select k, s, unnest(range(0, length(s))) as i from t), v as (select k, s, i, s[i + 1] as ch, 1 + (case when i = 0 then 5 else 0 end) + greatest(0, 10 - i) as v from c),
+a as (select x.k, max(x.v - x.i * 0.5 + y.v + case when y.i = x.i + 1 then 12 else -(y.i - x.i - 1) * 0.5 end + z.v + case when z.i = y.i + 1 and y.i = x.i + 1 then 18 else -(z.i - y.i - 1) * 0.5 end - 0.6 * length(x.s)) as score from v x join v y on x.k = y.k and y.i > x.i and y.ch = 'd' join v z on z.k = y.k and z.i > y.i and z.ch = 'g' where x.ch = 'o' group by 1)
+select t.k, case when instr(s, 'odg') > 0 then 10000 - (instr(s, 'odg') - 1) * 10 - length(s) else round(cast(a.score as double), 6) end :: double as score from t left join a on a.k = t.k where instr(s, 'odg') > 0 or a.score is not null""")
+def fuzzy_alignments(s, d):
+    """Best alignments of three characters, against all ways to place them."""
+    from ..functions import fuzzy
+
+    return table(s, d, "part").select(F.col("p_partkey").alias("k"), F.round(fuzzy.fuzzy_score("p_name", "odg"), 6).alias("score")).filter("score IS NOT NULL")
+
+
+@query("select p_partkey as k, 'x &lt;<mark>' || 'a</mark>&gt; b <mark>c</mark> ' || p_partkey as html from part")
+def fuzzy_marks(s, d):
+    from ..functions import fuzzy
+
+    return table(s, d, "part").select(F.col("p_partkey").alias("k"), fuzzy.fuzzy_highlight(_filled("x <a> b c <k>"), "ac").alias("html"))

@@ -424,7 +424,7 @@ def event_hours(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import calls, made  # noqa: F401  they add theirs
+    from . import calls, made, stored  # noqa: F401  they add theirs
 
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import file_name
+
 PR = "struct<number:int,title:string,user:struct<login:string>,base:struct<ref:string>,head:struct<ref:string,sha:string>,updated_at:string,html_url:string>"
 
 
@@ -51,7 +53,7 @@ def eip_numbers(text: Column | str) -> Column:
 
 def recorded_prs(spark: SparkSession, path: str, per_page: int = 30) -> DataFrame:
     """Open pull requests from recorded answers (JSON arrays, a file a spec): newest first, one page a spec."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_prs)?\.json$", 1).alias("spec"), F.explode(F.from_json("value", f"array<{PR}>")).alias("p"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(file_name(), r"^(.*?)(?:_prs)?\.json$", 1).alias("spec"), F.explode(F.from_json("value", f"array<{PR}>")).alias("p"))
     rows = raw.select("spec", "p.number", "p.title", F.col("p.user.login").alias("author"), F.col("p.base.ref").alias("base_ref"), F.col("p.head.ref").alias("head_ref"), F.col("p.head.sha").alias("head_sha"), "p.updated_at", F.col("p.html_url").alias("url"))
     w = Window.partitionBy("spec").orderBy(F.desc("number"))
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= per_page).drop("__n")

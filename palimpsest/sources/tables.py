@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = "array<struct<name:string,type:string,comment:string,required:boolean>>"
@@ -16,9 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local masters only)."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='palimpsest')}")
+        there = spark.sparkContext.getCheckpointDir()
+    return there.rstrip("/")
+
+
+def put_text(spark: SparkSession, path: str, content: str) -> None:
+    """Write one small file, such as a recorded answer."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(conf).create(p, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def file_name(part: str = "file_name") -> Column:
+    """A file's name or path as it stands in the file system; the metadata column has it with percent signs."""
+    return F.url_decode(F.replace(F.col(f"_metadata.{part}"), F.lit("+"), F.lit("%2B")))
+
+
 def text_files(spark: SparkSession, path: str, version_pattern: str = r"/([^/]+)/[^/]+$") -> DataFrame:
     """(file, fork, content) of whole text files; the version is cut out of the path."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(file_name("file_path").alias("file"), F.col("value").alias("content"))
     return raw.withColumn("fork", F.regexp_extract("file", version_pattern, 1))
 
 
@@ -36,5 +65,5 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 def indexes(spark: SparkSession, path: str) -> DataFrame:
     """(spec, doc) of index files named ``{spec}_index.json``, as variants; malformed files fail."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*_index.json").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_index\.json$", 1).alias("spec"), "value")
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*_index.json").select(F.regexp_extract(file_name(), r"^(.*)_index\.json$", 1).alias("spec"), "value")
     return raw.select("spec", F.parse_json("value").alias("doc"))
