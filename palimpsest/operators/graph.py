@@ -33,6 +33,12 @@ def boundary_map(links: DataFrame, source: str, target: str) -> DataFrame:
     return links.filter(F.col(source) != F.col(target)).groupBy(source, target).agg(F.count(F.lit(1)).alias("n_links")).withColumn("boundary", F.concat_ws(" -> ", source, target))
 
 
+def boundary_links(links: DataFrame) -> DataFrame:
+    """The links of cross_refs by boundary: from, to and versions of each, with the boundary's name; one row a link."""
+    side = F.substring_index("to_spec", "/", -1)
+    return links.select(F.concat_ws(" -> ", "from_spec", side).alias("boundary"), F.col("from_item").alias("from"), F.col("to_type").alias("to"), "forks")
+
+
 def reverse_refs(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """For each target its distinct sources, sorted and joined, and their number."""
     return edges.groupBy(dst).agg(F.array_join(F.array_sort(F.collect_set(src)), ",").alias("used_by"), F.count_distinct(src).alias("n_users"))

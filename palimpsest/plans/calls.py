@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import versions
+from ..operators import graph, versions
 from ..sources.tables import table
 from .catalog import Catalog
 from .queries import query
@@ -149,3 +149,16 @@ def reindex(s, d):
     after, report = cat.reindex({"s1": lambda: cat.items.filter("spec = 's1' AND fork_seq = 0")}, ["s1"])
     rows = after.items.groupBy("spec").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("spec") == "s1") & (F.col("fork_seq") == 0)).alias("n_built"))
     return rows.withColumn("report", F.when(F.col("spec") == "s1", report["s1"]))
+
+
+@query(VERSIONS + """select from_spec || ' -> ' || to_spec as boundary, from_item as "from", to_type as "to", forks from x""")
+def boundary_links(s, d):
+    return graph.boundary_links(made(s, d).cross_refs())
+
+
+@query(VERSIONS + """select spec, name, fork, code_at, plain from (select spec, name, fork, code_at, is_new as plain from f) where name like 'T1%'""")
+def resolved_versions(s, d):
+    """All versions of some items with the code that holds there, carried forward within their spec."""
+    cat = made(s, d)
+    rows = versions.carry_forward(cat.items.filter("name LIKE 'T1%'"), ["spec", "name"], "fork_seq", "code", "code_at")
+    return rows.select("spec", "name", "fork", "code_at", F.col("is_new").alias("plain"))

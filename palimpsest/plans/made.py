@@ -534,3 +534,19 @@ def fuzzy_marks(s, d):
     from ..functions import fuzzy
 
     return table(s, d, "part").select(F.col("p_partkey").alias("k"), fuzzy.fuzzy_highlight(_filled("x <a> b c <k>"), "ac").alias("html"))
+
+
+@query(f"select fork, fork_seq from {CONFIG} union all select 'z', 4 union all select '_features/' || n_name, 4 + row_number() over (order by '_features/' || n_name) from nation where n_nationkey < 5")
+def fork_chain(s, d):
+    """Configured versions, other folders, then features."""
+    line = F.explode(F.split(F.lit("ALTAIR_FORK_VERSION: 0x01000000\nBELLATRIX_FORK_VERSION: 0x02000000\nDENEB_FORK_VERSION: 0x04000000"), "\n"))
+    config = table(s, d, "region").filter("r_regionkey = 0").select(line.alias("line"))
+    folders = s.createDataFrame([("phase0",), ("z",), ("_features",)], "fork string")
+    return metadata.forks_of(config, folders, table(s, d, "nation").filter("n_nationkey < 5").select(F.col("n_name").alias("fork")))
+
+
+@query("select p_partkey as k, 10000 - (instr(lower(p_name), 'cold') - 1) * 10 - length(p_name) :: double as score from part where contains(lower(p_name), 'cold')")
+def ranked_types(s, d):
+    """Names that have the query, best first; what only has its characters in order is left out here."""
+    rows = search.ranked(table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")), "name", "cold")
+    return rows.filter(F.lower("name").contains("cold")).select("k", "score")

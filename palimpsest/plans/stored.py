@@ -88,3 +88,20 @@ select min(ts) as start, max(ts) + interval 6 hour as "end", user_id, count(*) a
 def event_sessions(s, d):
     rows = incremental.sessions(table(s, d, "events"), "ts", "user_id", "6 hours")
     return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "user_id", "n")
+
+
+@query("select r_name as spec, r_regionkey as pr, 'specs/' || n_name || '.md' as file, n_nationkey % 2 = 0 as touched from nation join region on n_regionkey = r_regionkey")
+def changed_files(s, d):
+    """Files of recorded pull requests, and whether the request touches a folder of specifications."""
+    path = _folder(s)
+    rows = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    for r in rows.groupBy("r_name", "r_regionkey").agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("specs/"), "n_name", F.lit(".md")).alias("filename")))).alias("j")).collect():  # five rows
+        put_text(s, f"{path}/{r['r_name']}_{r['r_regionkey']}_files.json", r["j"])
+    even = [f"specs/NATION_{i}.md" for i in range(0, 25, 2)]
+    return metadata.changed_files(s, path).withColumn("touched", metadata.touches(F.array("file"), even))
+
+
+@query("select doc_id, len(string_split(text, chr(10))) :: int as total_lines, len(string_split(text, chr(10))) > 3 as truncated, array_to_string(string_split(text, chr(10))[1:3], chr(10)) as text from documents")
+def examples(s, d):
+    files = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    return metadata.examples(files, 3).select(F.col("file").cast("long").alias("doc_id"), "total_lines", "truncated", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import first_lines
 from .tables import file_name
 
 PR = "struct<number:int,title:string,user:struct<login:string>,base:struct<ref:string>,head:struct<ref:string,sha:string>,updated_at:string,html_url:string>"
@@ -32,6 +33,30 @@ def forks_from_config(config: DataFrame, folders: DataFrame) -> DataFrame:
     return named.unionByName(rest).withColumn("fork_seq", F.row_number().over(Window.orderBy(place)) - 1).select("fork", "fork_seq")
 
 
+def forks_of(config: DataFrame, folders: DataFrame, features: DataFrame) -> DataFrame:
+    """(fork, fork_seq) by the first that says anything: configured versions, else folders by name; features come after.
+
+    config (line), folders (fork), features (fork): a feature's folder is a version ``_features/<name>`` of its own.
+    """
+    known = forks_from_config(config, folders)
+    last = F.coalesce(F.max("fork_seq").over(Window.partitionBy()), F.lit(-1))  # some tens of rows
+    extra = features.select(F.concat(F.lit("_features/"), "fork").alias("fork")).distinct().withColumn("fork_seq", F.lit(None).cast("int"))
+    rows = known.unionByName(extra).withColumn("last", last)
+    place = F.row_number().over(Window.partitionBy(F.col("fork_seq").isNull()).orderBy("fork"))
+    return rows.select("fork", F.coalesce("fork_seq", F.col("last") + place).alias("fork_seq"))
+
+
+def changed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(spec, pr, file) of recorded answers (JSON arrays) named ``{spec}_{pr}_files.json``."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*_files.json").select(F.regexp_extract(file_name(), r"^(.*)_(\d+)_files\.json$", 1).alias("spec"), F.regexp_extract(file_name(), r"^(.*)_(\d+)_files\.json$", 2).cast("int").alias("pr"), "value")
+    return raw.select("spec", "pr", F.explode(F.from_json("value", "array<struct<filename:string>>")).alias("f")).select("spec", "pr", F.col("f.filename").alias("file"))
+
+
+def examples(files: DataFrame, lines: int = 80) -> DataFrame:
+    """(file, text, total_lines, truncated) of fetched examples (file, content): their first lines."""
+    return files.select("file", first_lines("content", lines).alias("x")).select("file", "x.*")
+
+
 def forks_from_criteria(inits: DataFrame) -> DataFrame:
     """(fork, fork_seq) by the criteria in each fork's text: block numbers, then timestamps, unscheduled, then missing."""
     t = F.col("init_text")
