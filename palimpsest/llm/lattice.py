@@ -2,7 +2,7 @@
 
 Unit vectors are projected to blocks of eight dimensions, once for each table, and each block is decoded to its
 nearest point of the E8 lattice; the points of a table name its cell. A vector also probes the neighbouring cells
-that are nearest to it. Vectors that meet in a cell, one of them at home there, are compared by cosine. A pair that
+that are nearest to it. Vectors that meet in a cell, one of them at home there, are brought there and compared by cosine. A pair that
 meets more than once counts where it meets first, which both rows show by themselves, so no pairs are written.
 """
 
@@ -129,23 +129,23 @@ def near_duplicates(vectors: DataFrame, at_least: float = 0.95, scratch: Scratch
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     width, blocks = facts["width"], blocks_for(facts["n"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Hash(width, blocks)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                v = matrix(part.column("embedding"), width)
-                cells = by.cells(_unit(v))
-                n, tables, each = cells.shape
-                at = np.repeat(np.arange(n), tables * each)
-                flat = pa.array(cells.reshape(n, -1).tolist(), pa.list_(pa.int64())).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), n)), pa.array(cells.ravel()), pa.array(np.tile(np.arange(each) == 0, n * tables)), part.column("uid").take(pa.array(at)), part.column("n").take(pa.array(at)), part.column("embedding").take(pa.array(at)), flat],
-                    names=["t", "cell", "home", "uid", "n", "v", "cells"],
-                )
-
-    schema = T.StructType([T.StructField(c, k) for c, k in (("t", T.IntegerType()), ("cell", T.LongType()), ("home", T.BooleanType()), ("uid", T.LongType()), ("n", T.LongType()), ("v", distinct.schema["embedding"].dataType), ("cells", T.ArrayType(T.LongType())))])
-    dealt = tiled(distinct.select("uid", "n", "embedding").mapInArrow(task(hashed), schema), ["t", "cell"], "uid", TILE, scratch, "heavy")
+                found = by.cells(_unit(matrix(part.column("embedding"), width)))
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(found.reshape(len(found), -1).tolist(), pa.list_(pa.int64()))], names=["uid", "cells"])
+
+    each = 1 + PROBES
+    placed = scratch.save(distinct.select("uid", "embedding").mapInArrow(task(cells), "uid long, cells array<long>"), "cells")
+    at = F.posexplode("cells").alias("place", "cell")
+    codes = placed.select("uid", at).select("uid", (F.col("place") / each).cast("int").alias("t"), "cell", (F.col("place") % each == 0).alias("home"))
+    # only vectors that meet another in a cell go there with their components
+    meet = codes.groupBy("t", "cell").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("any")).filter("m > 1 AND any").select("t", "cell")
+    meeting = scratch.save(codes.join(meet, ["t", "cell"]).select("uid", "t", "cell", "home"), "meet")
+    full = distinct.select("uid", "n", F.col("embedding").alias("v")).join(placed, "uid")
+    dealt = tiled(meeting.join(full, "uid"), ["t", "cell"], "uid", TILE, scratch, "heavy")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in groups(batches, ["t", "cell", "tile_i", "tile_j"]):

@@ -38,7 +38,7 @@ def test_lattice(spark, monkeypatch):
     want = brute_links(data) + [(i, 0, i) for i in (200, 201, 202, 203, 204, 205)]
     for tile in (512, 4):  # 4: cells are cut into tiles
         monkeypatch.setattr(lattice, "TILE", tile)
-        got = lattice.near_duplicates(df).collect()
+        got = lattice.near_duplicates(df.withColumns({"uid": F.lit("x"), "cells": F.lit(1), "home": F.lit(2)})).collect()  # clashing names
         assert len(got) == len(data)
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id is not None) == sorted(want)
         assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
@@ -62,7 +62,7 @@ def test_lattice_points_and_recall():
         assert lattice._meet(h.cells(a), h.cells(b)).any((1, 2)).mean() >= 0.95
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
     good = [(i, np.floor(256 * np.array(v, np.float64))) for i, v, _ in data if i is not None and fine(v)]
@@ -70,11 +70,30 @@ def test_top_k(spark):
     for q, v in {i: v for i, v in good if i % 10 == 0}.items():
         best = sorted((-int(v @ w), i) for i, w in good if i != q)[:5]
         want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    for block in (8192, 3):
-        got = topk.top_k(df, F.col("vec_id") % 10 == 0, block=block)
+    for block, longest in ((8192, 4096), (3, 7)):
+        monkeypatch.setattr(topk, "LONGEST", longest)
+        got = topk.top_k(df.withColumns({"size": F.lit("x"), "score": F.lit(1)}), F.col("vec_id") % 10 == 0, block=block)  # clashing names
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.top_k(df.filter("vec_id < 0"), F.lit(True)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [3.0], 0)], SCHEMA)  # fewer than k; a short vector is filled up
     assert sorted(map(tuple, topk.top_k(two, F.lit(True)).collect())) == [(0, 1, 1, 256 * 768), (1, 1, 0, 256 * 768)]
     huge = spark.createDataFrame([(0, [1e30, 1.0], 0), (1, [1e30, 2.0], 0)], SCHEMA)
     assert {r.score for r in topk.top_k(huge, F.lit(True)).collect()} == {2**63 - 1}
+
+
+def test_top_k_prunes():
+    """The floor and the bounds leave few products, and the result is that of all products."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.standard_normal((6000, 32)) * np.exp(rng.standard_normal((6000, 1))) * 256)
+    ids, q = np.arange(6000), np.arange(0, 6000, 50)
+    s = topk.BlockSearch(q, x[q], 5)
+    order = np.argsort(-np.linalg.norm(x, axis=1))
+    s.add(ids[order[:500]], x[order[:500]])
+    s.start_over()
+    before = s.products
+    s.add(ids, x)
+    assert s.products - before < 0.05 * len(q) * 6000
+    got = {(r["query_id"], r["vec_id"], r["score"]) for r in s.rows().to_pylist()}
+    for i in q.tolist():
+        best = sorted(((-int(x[i] @ x[j]), j) for j in range(6000) if j != i))[:5]
+        assert {(i, j, -v) for v, j in best} <= got
