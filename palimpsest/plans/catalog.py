@@ -16,7 +16,7 @@ from ..functions import code as code_functions
 from ..functions import text
 from ..functions.code import parse_fields
 from ..operators import annotate, canonical, diffing, graph, search, versions
-from ..sources.tables import json_rows, write_by
+from ..sources.tables import has_rows, json_rows, write_by
 
 
 EDGES = "spec string, src string, fork string, dst string"
@@ -39,9 +39,7 @@ class Catalog:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
         def read(name: str) -> DataFrame | None:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-            there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-            return spark.read.parquet(f"{path}/{name}") if there else None
+            return spark.read.parquet(f"{path}/{name}") if has_rows(spark, f"{path}/{name}") else None
 
         items = read("items")
         if items is None:

@@ -25,7 +25,7 @@ def stored_catalog(s, d):
     path = _folder(s)
     made(s, d).save(path)
     cat = Catalog.load(s, path)
-    links = s.read.parquet(f"{path}/cross_refs").groupBy(F.col("from_spec").alias("spec")).agg(F.count(F.lit(1)).alias("n_links"))
+    links = s.read.schema("from_item string, to_spec string, to_type string, forks string, from_spec string").parquet(f"{path}/cross_refs").groupBy(F.col("from_spec").alias("spec")).agg(F.count(F.lit(1)).alias("n_links"))
     prs = cat.list_prs().groupBy("spec").agg(F.count(F.lit(1)).alias("n_prs"))
     return cat.list_specs().select("spec", "n_items", "forks").join(links, "spec", "left").join(prs, "spec", "left").fillna(0, ["n_links", "n_prs"])
 

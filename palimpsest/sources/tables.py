@@ -51,6 +51,13 @@ def text_files(spark: SparkSession, path: str, version_pattern: str = r"/([^/]+)
     return raw.withColumn("fork", F.regexp_extract("file", version_pattern, 1))
 
 
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there with any rows; one without rows has no folders, and so no schema."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and any(s.getPath().getName()[0] not in "._" for s in fs.listStatus(p))
+
+
 def write_by(df: DataFrame, path: str, *by: str) -> None:
     """Write a table with one folder a key, and overwrite only the folders that the rows belong to."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.diffing import stale
-from ..sources.tables import write_by
+from ..sources.tables import has_rows, write_by
 
 
 def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: list[str], version: str, by: str, order: str | None = None) -> StreamingQuery:
@@ -19,7 +19,7 @@ def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoi
     again after a failure changes nothing.
     """
     def upsert(batch: DataFrame, _: int) -> None:
-        there = spark.read.schema(batch.schema).parquet(target) if _exists(spark, target) else batch.limit(0)
+        there = spark.read.schema(batch.schema).parquet(target) if has_rows(spark, target) else batch.limit(0)
         last = batch.groupBy(*key).agg(F.max_by(version, F.struct(order or version, version)).alias(version))
         fresh = stale(batch.join(last, [*key, version]).distinct().select(*batch.columns), there, [*key, version]).select(*batch.columns)
         kept = there.join(fresh.select(by).distinct(), by, "left_semi").join(fresh.select(*key).distinct(), key, "left_anti").select(*batch.columns)
@@ -31,12 +31,6 @@ def refresh(spark: SparkSession, source: str, schema: str, target: str, checkpoi
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p)) and any(s.getPath().getName()[0] not in "._" for s in fs.listStatus(p))
-
-
 def windowed(events: DataFrame, time: str, group: str, size: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts by event-time window and group; rows later than ``late`` are left out once their window is closed."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), group).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), group, "n")

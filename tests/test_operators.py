@@ -131,7 +131,10 @@ def test_catalog(spark, tmp_path):
     items = build_items(markdown.extract(files), forks, "core")
     cat = Catalog(spark, items)
     cat.save(str(tmp_path))
+    cat.overlays = spark.createDataFrame([], "spec string, pr int, name string, action string")
+    cat.save(str(tmp_path))  # a table without rows is none when it is read again
     cat = Catalog.load(spark, str(tmp_path))
+    assert cat.overlays is None
     assert cat.list_specs().first().n_items == 3
     assert cat.lookup_type("State", "v1")["code"].endswith("a: uint64") and "f" in cat.lookup_type("State")["used_by"]
     assert cat.lookup_type("Stat")["suggestions"] == ["State"] and "available" in cat.lookup_type("State", "v9")
