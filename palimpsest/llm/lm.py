@@ -212,35 +212,6 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sum"])
 
 
-def score(self, words: list[list[int]], counts: np.ndarray, total: int, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of documents given as places in ``words``, ends included.
-
-        A word has three probabilities: of its subwords under attention, its share of the ``total`` training tokens,
-        and its share of the words before it in the document; it counts with their weighted mean. ``counts`` has the training
-        counts of the words, then of the end.
-        """
-        words = [*words, [self.end]]
-        size = np.array([len(w) for w in words], np.int64)
-        flat = np.array([i for w in words for i in w], np.int64)
-        begin = np.cumsum(size) - size
-        share, of = self.share[flat].astype(np.float32), self.of[flat].astype(np.int16)
-        at = np.concatenate([np.append(x, len(words) - 1) for x in docs])
-        n = size[at]
-        stop = np.cumsum(n)
-        take = np.arange(stop[-1]) + np.repeat(begin[at] - (stop - n), n)
-        ends = stop[np.cumsum([len(x) + 1 for x in docs]) - 1]
-        each = self.model.log10(of[take], np.concatenate([[0], ends[:-1]]), ends, self.slot[flat].astype(np.int16)[take]) + share[take]
-        word = np.add.reduceat(each.astype(np.float64), stop - n)
-        plain = counts[at] / max(1, total)
-        sizes = np.array([len(x) + 1 for x in docs])
-        first = np.cumsum(sizes) - sizes
-        before = _earlier(at, np.repeat(np.arange(len(docs)), sizes))
-        recent = before / np.maximum(1, np.arange(len(at)) - np.repeat(first, sizes))
-        rest = (1 - MIX - RECENT) * plain + RECENT * recent
-        mixed = np.where(rest > 0, np.log10(MIX * 10.0 ** np.maximum(word, -300) + rest), word + np.log10(MIX))
-        return np.add.reduceat(mixed, first)
-
-
 def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_bytes: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
