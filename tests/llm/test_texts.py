@@ -139,14 +139,21 @@ def test_anchors_find_every_link(spark, monkeypatch):
     for k in (1, 2, 3, 4, 5):
         flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for _ in base])
         fp.append(base ^ flips)
-    fp = np.unique(np.concatenate(fp))
+    # one lower and one upper half that many share, with unlike other halves, so that crowded anchors are parted
+    lots = rng.integers(0, 2**32, 60, dtype=np.uint64)
+    lots = np.concatenate([lots << np.uint64(32) | np.uint64(77), lots | np.uint64(99 << 32)])
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for _ in lots])
+    fp = np.unique(np.concatenate([*fp, lots, lots ^ flips]))
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
     root = roots(len(fp), list(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)))
     for tile in (1024, 3):  # 3: anchors are cut into tiles
         monkeypatch.setattr(simhash, "TILE", tile)
         rows = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").mapInArrow(simhash._replicate, "anchor long, fp long, home boolean")
         scratch = Scratch(spark)
-        links = graph.tiled(rows, ["anchor"], "fp", tile, scratch, "h").mapInArrow(simhash._compare, "a long, b long")
+        narrowed = simhash._narrowed(rows, scratch)
+        parts = {r.part for r in narrowed.select("part").distinct().collect()}
+        assert (len(parts) > 1) == (tile == 3) and -1 in parts
+        links = graph.tiled(narrowed, ["anchor", "part"], "fp", tile, scratch, "h").mapInArrow(simhash._compare, "a long, b long")
         found = {r.node: r.root for r in graph.components(links, scratch, "c").collect()}
         signed = fp.view(np.int64).tolist()
         least = {k: min(s for s, r in zip(signed, root, strict=True) if r == k) for k in set(root)}
