@@ -148,6 +148,25 @@ def line_diff(old: Column | str, new: Column | str) -> Column:
     return F.pandas_udf(_line_diff, OPS)(old, new)
 
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def side_by_side(old: Column, new: Column) -> Column:
+    """Rows (type, left, right) of two texts beside each other; the side that a step lacks is null."""
+    return F.transform(line_diff(old, new), lambda o: F.struct(o["type"].alias("type"), F.get(_lines(old), o["old"]).alias("left"), F.get(_lines(new), o["new"]).alias("right")))
+
+
+def unified(old: Column, new: Column) -> Column:
+    """Marked lines: both sides as the old one has them, ``-`` removed, ``+`` added; none without a new text."""
+
+    def marked(step: Column) -> Column:
+        gone, here = F.concat(F.lit("-"), step["left"]), F.concat(F.lit("+"), step["right"])
+        return F.when(step["type"] == "equal", F.array(F.concat(F.lit(" "), step["left"]))).otherwise(F.array_compact(F.array(gone, here)))
+
+    return F.when(F.length(new) > 0, F.flatten(F.transform(side_by_side(old, new), marked))).otherwise(F.array().cast("array<string>"))
+
+
 def counted(ops: Column) -> Column:
     """Steps of each type as a struct."""
     def of(kind: str) -> Column:

@@ -248,6 +248,15 @@ def pull_request_facts(s, d):
     return rows.select("k", F.array_join(metadata.eip_numbers("title"), ",").alias("numbers"), metadata.touches("files", ["specs/", "src/spec"]).alias("touched"))
 
 
+@query("select p_partkey as k, case p_partkey % 8 when 0 then 'specs/x' when 1 then 'a.yaml' when 2 then 'a/b.yml' when 3 then 'a/apis/b/' || p_partkey || '.yaml' when 4 then 'src/a/b.py' when 5 then 'x/y/OpenRPC.json' else p_partkey || '' end as path from part where p_partkey % 8 < 6")
+def spec_files(s, d):
+    """Specifications among changed files; hidden, deep and other files aren't."""
+    m = F.col("p_partkey") % 8
+    names = {0: "specs/x", 1: "a.yaml", 2: "a/b.yml", 3: "a/apis/b/<k>.yaml", 4: "src/a/b.py", 5: "x/y/OpenRPC.json", 6: ".ci/a.yml"}
+    path = F.coalesce(*[F.when(m == i, _filled(n)) for i, n in names.items()], _filled("a/b/<k>.yaml"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("k"), path.alias("path")).filter(metadata.is_spec_file("path"))
+
+
 # functions
 
 @query("""select p_partkey as k, 'https://h/o/r/blob/dev/specs/' || p_partkey || '.md#' || replace(p_name, ' ', '-') as url, 'x # [New in Deneb] y' as source, '# [New in Deneb]' as comments from part""")
@@ -519,6 +528,19 @@ def line_steps(s, d):
     return rows.select("k", "x.*")
 
 
+@query("""select p_partkey as k, case p_partkey % 3 when 0 then ' one| ' || p_partkey || '| ' || p_name when 1 then '-one| ' || p_partkey || '| ' || p_name || '| x|+new' else ' one|-' || p_partkey || '|+' || p_partkey || ' changed| ' || p_name || '|+new' end as unified,
+case p_partkey % 3 when 0 then 'one> one|' || p_partkey || '>' || p_partkey || ' |' || p_name || '>' || p_name when 1 then 'one>|' || p_partkey || '>' || p_partkey || '|' || p_name || '>' || p_name || '|x>x|>new' else 'one>one|' || p_partkey || '>' || p_partkey || ' changed|' || p_name || '>' || p_name || '|>new' end as sides, '+' || p_name as whole from part""")
+def shown_diffs(s, d):
+    """The texts of line_steps as marked lines and side by side; a text that had none before is added as a whole."""
+    m = F.col("p_partkey") % 3
+    old = F.when(m == 1, _filled("one\n<k>\n<n>\nx")).otherwise(_filled("one\n<k>\n<n>"))
+    new = F.when(m == 0, _filled(" one\n<k> \n<n>")).when(m == 1, _filled("<k>\n<n>\nx\nnew")).otherwise(_filled("one\n<k> changed\n<n>\nnew"))
+    rows = table(s, d, "part").select("p_name", F.col("p_partkey").alias("k"), old.alias("old"), new.alias("new"))
+    sides = F.transform(diffing.side_by_side(F.col("old"), F.col("new")), lambda x: F.concat_ws(">", F.coalesce(x["left"], F.lit("")), F.coalesce(x["right"], F.lit(""))))
+    marked, whole = diffing.unified(F.col("old"), F.col("new")), diffing.unified(F.lit(None).cast("string"), F.col("p_name"))
+    return rows.select("k", F.array_join(marked, "|").alias("unified"), F.array_join(sides, "|").alias("sides"), F.array_join(whole, "|").alias("whole"))
+
+
 @query("""with t as (select p_partkey as k, lower(p_name) as s from part), c as (select k, s, unnest(range(0, length(s))) as i from t), v as (select k, s, i, s[i + 1] as ch, 1 + (case when i = 0 then 5 else 0 end) + greatest(0, 10 - i) as v from c),
 a as (select x.k, max(x.v - x.i * 0.5 + y.v + case when y.i = x.i + 1 then 12 else -(y.i - x.i - 1) * 0.5 end + z.v + case when z.i = y.i + 1 and y.i = x.i + 1 then 18 else -(z.i - y.i - 1) * 0.5 end - 0.6 * length(x.s)) as score from v x join v y on x.k = y.k and y.i > x.i and y.ch = 'd' join v z on z.k = y.k and z.i > y.i and z.ch = 'g' where x.ch = 'o' group by 1)
 select t.k, case when instr(s, 'odg') > 0 then 10000 - (instr(s, 'odg') - 1) * 10 - length(s) else round(cast(a.score as double), 6) end :: double as score from t left join a on a.k = t.k where instr(s, 'odg') > 0 or a.score is not null""")

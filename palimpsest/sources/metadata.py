@@ -88,3 +88,15 @@ def touches(files: Column | str, prefixes: list[str]) -> Column:
     """Whether any changed file is under one of the prefixes, or is one of them."""
     c = F.col(files) if isinstance(files, str) else files
     return F.exists(c, lambda f: F.greatest(*[(f == p) | f.startswith(p.rstrip("/") + "/") for p in prefixes], F.lit(False)))
+
+
+#: Parts of paths that hold specifications written in YAML.
+YAML_PLACES = ("apis/", "types/", "beacon-node-oapi")
+
+
+def is_spec_file(path: Column | str) -> Column:
+    """Whether a path holds a specification: by its folder, or by its ending and where that stands."""
+    c = F.col(path) if isinstance(path, str) else path
+    shallow = F.size(F.split(c, "/")) <= 2
+    yaml = c.rlike(r"^(?!\.).*\.ya?ml$") & F.greatest(shallow, *map(c.contains, YAML_PLACES))
+    return F.greatest(c.startswith("specs/"), yaml, c.rlike(r"^(?=.*(?i:openrpc)).*\.json$"), c.rlike(r"^src/.*\.py$"))
