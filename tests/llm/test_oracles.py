@@ -24,7 +24,7 @@ def test_sql_agrees(spark, name):
 
 
 def test_links_and_components(spark, tmp_path):
-    """Copies and near copies, a chain, zero and broken vectors."""
+    """Copies and near copies, a zero and a broken vector."""
     import numpy as np
     import pandas as pd
 
