@@ -17,6 +17,8 @@ import numpy as np
 
 #: Leaves, those of one id among them; width, hidden width, window, and the step between windows.
 LEAVES, OWN = 4096, 3584
+#: Turns of a path that are worked out for all nodes at once; most paths have few more.
+TOP = 6
 WIDTH, HIDDEN, WINDOW, STRIDE = 16, 32, 32, 16
 _F = np.float32
 _FRESH = WINDOW - STRIDE  # the first place of a window whose target counts
@@ -37,7 +39,11 @@ def leaves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """Paths of leaves: turn i of leaf k is at ``node[start[k] + i]``, to the right where ``sign`` is 1, else -1."""
+    """Paths of leaves: turn i of leaf k is at ``node[start[k] + i]``, to the right where ``sign`` is 1, else -1.
+
+    Paths are written from the leaf up. The TOP turns next to the root also stand in tables, a row a leaf: ``column``
+    numbers the nodes ``top`` that they are at, with len(top) where a path is shorter. ``more`` turns of each are below.
+    """
 
     def __init__(self, weight: np.ndarray):
         weight = np.maximum(weight, 1e-6)
@@ -61,6 +67,13 @@ class Tree:
         self.sign = np.concatenate([p[2] for p in paths])[order].astype(_F)
         self.size = np.bincount(k, minlength=n)
         self.start = np.cumsum(self.size) - self.size
+        turn = np.repeat(self.start + self.size, self.size) - 1 - np.arange(len(k))  # paths are written from the leaf up
+        early = np.flatnonzero(turn < TOP)
+        self.top, number = np.unique(self.node[early], return_inverse=True)
+        self.column, self.turn = np.full((n, TOP), len(self.top)), np.ones((n, TOP), _F)
+        self.column[k[order][early], turn[early]] = number
+        self.turn[k[order][early], turn[early]] = self.sign[early]
+        self.more = np.maximum(self.size - TOP, 0)
 
 
 def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,21 +114,20 @@ class Attention:
     def forward(self, x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Context vectors of the last STRIDE places of windows (windows, WINDOW)."""
         p, m = self.p, len(x)
-        z = p["e"][x]
+        z = p["e"].take(x, 0)
         z += p["at"]
         flat = z.reshape(-1, WIDTH)
         k, v = ((flat @ p[i]).reshape(m, WINDOW, WIDTH) for i in "kv")
         late = np.ascontiguousarray(z[:, _FRESH:]).reshape(-1, WIDTH)
-        q = (late @ p["q"] * _F(WIDTH**-0.5)).reshape(m, STRIDE, WIDTH)
+        q = (late @ (p["q"] * _F(WIDTH**-0.5))).reshape(m, STRIDE, WIDTH)
         s = q @ k.transpose(0, 2, 1)
-        # a place sees itself and what is before it; its own input is always seen
-        s += _PAST
-        if not there[:, :_FRESH].all():
-            s -= np.where(there | (np.arange(WINDOW) >= _FRESH), _F(0), _F(60))[:, None]
-        s -= s.max(2, keepdims=True)
-        np.maximum(s, -30, out=s)  # tiny numbers are slow to work with
+        if max(s.max(initial=0), -s.min(initial=0)) > 40:  # beyond that, exponentials are taken from the largest that is seen
+            s -= np.where(self._seen(there), s, _F(-np.inf)).max(2, keepdims=True)
+            np.clip(s, -30, 0, out=s)  # tiny numbers are slow to work with
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
+        # a place sees itself and what is before it; its own input is always seen
+        s *= _PAST if there[:, :_FRESH].all() else self._seen(there)
+        s *= 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, _F)).reshape(m, STRIDE, 1)
         c = (s @ v).reshape(-1, WIDTH)
         y = late + c @ p["o"]
         h = y @ p["h"]
@@ -124,37 +136,68 @@ class Attention:
         r = y + h @ p["u"]
         return r, (x, z, late, q, k, v, s, c, y, h)
 
+    @staticmethod
+    def _seen(there: np.ndarray) -> np.ndarray:
+        """Which inputs each of the last STRIDE places sees."""
+        return _PAST.astype(bool) & (there | (np.arange(WINDOW) >= _FRESH))[:, None]
+
+    def first_turns(self, r: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The TOP turns next to the root on the way to each target: weights of the top nodes, where turns are among rows times nodes, signs,
+        signed logits. A turn that a path lacks has probability one."""
+        of = np.vstack([self.p["n"][self.tree.top], np.zeros((1, WIDTH), _F)])
+        logits = r @ of.T
+        logits += np.append(self.p["nb"][self.tree.top], _F(60))
+        at = self.tree.column.take(target, 0)
+        at += np.arange(len(target))[:, None] * len(of)
+        sign = self.tree.turn.take(target, 0)
+        t = logits.ravel().take(at)
+        t *= sign
+        return of, at, sign, np.clip(t, -60, 60, out=t)
+
     def turns(self, r: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Turns on the way to each target: nodes, signs, where rows begin, vectors of nodes and rows, signed logits."""
-        size = self.tree.size[target]
+        """The turns below those, of the targets that have more: which those are, nodes, signs, where they begin, vectors
+        of nodes and rows, signed logits."""
+        some = np.flatnonzero(self.tree.more.take(target))
+        target = target[some]
+        size = self.tree.more[target]
         stop = np.cumsum(size)
         first = stop - size
         row = np.repeat(np.arange(len(target)), size)
         at = np.arange(stop[-1] if len(stop) else 0) + (self.tree.start[target] - first)[row]
         node, sign = self.tree.node[at], self.tree.sign[at]
-        of, mine = self.p["n"][node], r[row]
+        of, mine = self.p["n"].take(node, 0), r.take(some[row], 0)
         t = np.einsum("pd,pd->p", of, mine)
         t += self.p["nb"][node]
         t *= sign
-        return node, sign, first, of, mine, np.clip(t, -60, 60, out=t)
+        return some, node, sign, first, of, mine, np.clip(t, -60, 60, out=t)
 
     def loss(self, x: np.ndarray, there: np.ndarray, target: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy in nats of the targets that count, and its gradients."""
         p, m = self.p, len(x)
         r, (x, z, late, q, k, v, s, c, y, h) = self.forward(x, there)
         rows = np.flatnonzero(counts.ravel())
-        node, sign, first, of, mine, t = self.turns(r[rows], target.ravel()[rows])
+        scored, goal, n = r[rows], target.ravel()[rows], _F(max(1, len(rows)))
+        top, at, sign, t = self.first_turns(scored, goal)
         odds = np.exp(-t)
-        value = float(np.log1p(odds).sum() / max(1, len(rows)))
-        d = -sign * odds / (1 + odds) / _F(max(1, len(rows)))
+        value = np.log(1 + odds).sum(dtype=np.float64)
         g: dict[str, np.ndarray] = {}
-        mine *= d[:, None]
-        of *= d[:, None]
+        d = np.zeros((len(rows), len(top)), _F)
+        d.ravel()[at] = -sign * odds / (1 + odds) / n
+        some, node, sign, first, of, mine, t = self.turns(scored, goal)
+        odds = np.exp(-t)
+        value += np.log(1 + odds).sum(dtype=np.float64)
+        value = float(value / n)
+        deep = -sign * odds / (1 + odds) / n
+        mine *= deep[:, None]
+        of *= deep[:, None]
         g["n"] = _scatter(node, mine, len(p["n"]))
-        g["nb"] = np.bincount(node, d, len(p["nb"])).astype(_F)
+        g["nb"] = np.bincount(node, deep, len(p["nb"])).astype(_F)
+        g["n"][self.tree.top] += (d.T @ scored)[:-1]
+        g["nb"][self.tree.top] += d.sum(0)[:-1]
         dr = np.zeros_like(r)
-        if len(rows):
-            dr[rows] = np.add.reduceat(of, first)
+        dr[rows] = d @ top
+        if len(some):
+            dr[rows[some]] += np.add.reduceat(of, first)
         g["u"] = h.T @ dr
         dh = (dr @ p["u"].T) * (h > 0)
         g["h"], g["hb"] = y.T @ dh, dh.sum(0)
@@ -163,12 +206,15 @@ class Attention:
         dc = (dy @ p["o"].T).reshape(m, STRIDE, WIDTH)
         ds = dc @ v.transpose(0, 2, 1)
         dv = (s.transpose(0, 2, 1) @ dc).reshape(-1, WIDTH)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
+        ds -= np.einsum("pd,pd->p", dc.reshape(-1, WIDTH), c).reshape(m, STRIDE, 1)
+        ds *= s
         dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
         dq = (ds @ k).reshape(-1, WIDTH) * _F(WIDTH**-0.5)
         flat = z.reshape(-1, WIDTH)
         g["q"], g["k"], g["v"] = late.T @ dq, flat.T @ dk, flat.T @ dv
-        dz = (dk @ p["k"].T + dv @ p["v"].T).reshape(m, WINDOW, WIDTH)
+        dz = dk @ p["k"].T
+        dz += dv @ p["v"].T
+        dz = dz.reshape(m, WINDOW, WIDTH)
         dz[:, _FRESH:] += (dy + dq @ p["q"].T).reshape(m, STRIDE, WIDTH)
         g["at"] = dz.sum(0)
         g["e"] = _scatter(x.ravel(), dz.reshape(-1, WIDTH), len(p["e"]))
@@ -185,8 +231,15 @@ class Attention:
             for name, g in grad.items():
                 a, b = first[name], second[name]
                 a += _F(0.1) * (g - a)
-                b += _F(0.01) * (g * g - b)
-                self.p[name] -= _F(now) * a / (np.sqrt(b) + _F(1e-8))
+                g *= g
+                g -= b
+                g *= _F(0.01)
+                b += g
+                np.sqrt(b, out=g)
+                g += _F(1e-8)
+                np.divide(a, g, out=g)
+                g *= _F(now)
+                self.p[name] -= g
 
     def log10(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """log10 probability of each leaf of the texts text[start:stop], which make up ``text``."""
@@ -195,12 +248,16 @@ class Attention:
             r, _ = self.forward(x, there)
             rows = np.flatnonzero(counts.ravel())
             where = at.ravel()[rows]
-            _, _, first, _, _, t = self.turns(r[rows], text[where])
-            out[where] = np.add.reduceat(np.log1p(np.exp(-t)), first)
+            scored, goal = r[rows], text[where]
+            own = np.log(1 + np.exp(-self.first_turns(scored, goal)[-1])).sum(1)
+            some, _, _, first, _, _, t = self.turns(scored, goal)
+            if len(some):
+                own[some] += np.add.reduceat(np.log1p(np.exp(-t)), first)
+            out[where] = own
         return out * _F(-1 / np.log(10))
 
 
-_PAST = np.where(np.arange(WINDOW) <= np.arange(STRIDE)[:, None] + _FRESH, _F(0), _F(-60))
+_PAST = (np.arange(WINDOW) <= np.arange(STRIDE)[:, None] + _FRESH).astype(_F)
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

@@ -15,6 +15,7 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -32,8 +33,8 @@ BLOCK, TRAIN, EACH, STEPS = 8_000_000, 3000, 320, 400
 FIRST, RATE, MIXED = 0.01, 0.004, 1_000_000
 #: Weights of attention over subwords and of the words before in the same document; the smoothed whole-word share has the rest.
 MIX, RECENT = 0.9, 0.05
-#: Distinct words that a worker keeps the subwords of, weights in one row, words that are scored in one go.
-KEEP, PART, PIECE = 200_000, 8192, 200_000
+#: Distinct words that are encoded together, weights in one row, words that are scored in one go.
+TOGETHER, PART, PIECE = 10_000, 8192, 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -41,6 +42,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split()  # splits at 0x20 and 0x09-0x0D
 
 
+class Places(dict[bytes, int]):
+    """Words by number, in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Subwords:
     """Ids of a word and the space before it."""
 
@@ -50,21 +62,23 @@ class Subwords:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.encoding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1  # the id that the rank file leaves free
-        self.first_byte, self.last_byte = np.zeros(self.end + 1, np.int64), np.zeros(self.end + 1, np.int64)
+        self.first_byte, self.last_byte, self.size = np.zeros((3, self.end + 1), np.int64)
         for token, i in ranks.items():
-            self.first_byte[i], self.last_byte[i] = token[0], token[-1]
-        self.known: dict[bytes, list[int]] = {}
-
-    def of(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.known) > KEEP:
-            self.known.clear()
-        known, encode, out = self.known, self.encoding.encode_ordinary, []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = encode(" " + w.decode())
-            out.append(ids)
-        return out
+            self.first_byte[i], self.last_byte[i], self.size[i] = token[0], token[-1], len(token)
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one word after another, and how many each has."""
+        text = [w.decode() for w in words]
+        # a space goes with the word after it, so words split as they would alone; not so beside other white space
+        alone = [i for i, t in enumerate(text) if t.split() != [t]]
+        cuts = sorted({*range(0, len(words), TOGETHER), len(words), *alone, *(i + 1 for i in alone)})
+        ids, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in pairwise(cuts):
+            got = np.array(self.encoding.encode_ordinary(f" {' '.join(text[a:b])}"), np.int64)
+            stop = np.searchsorted(np.cumsum(self.size[got]), np.cumsum([len(w) + 1 for w in words[a:b]])) + 1
+            ids.append(got)
+            size.append(np.diff(stop, prepend=0))
+        return np.concatenate(ids), np.concatenate(size)
 
 
 def _subwords(rank_file: bytes) -> Subwords:
@@ -121,8 +135,10 @@ class Spelling:
 
     def rest(self, words: list[list[int]], counts: np.ndarray) -> np.ndarray:
         """log10 probability of the further subwords of words, given their first ones; ``counts`` are the words' own."""
-        size = np.array([len(w) for w in words], np.int64)
-        flat = np.array([i for w in words for i in w], np.int64)
+        return self.rest_of(np.array([i for w in words for i in w], np.int64), np.array([len(w) for w in words], np.int64), counts)
+
+    def rest_of(self, flat: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same for words as ``Subwords.of`` gives them."""
         begin = np.cumsum(size) - size
         after = np.full(len(flat), 256)
         inner = np.ones(len(flat), bool)
@@ -150,9 +166,10 @@ class Scorer:
 
     def texts(self, texts: list[str | None], sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Leaves of the words of texts, one after another, with an end each; where texts start and stop."""
-        place: dict[bytes, int] = {}
-        at = [np.fromiter([place.setdefault(w, len(place)) for w in words_of(t)], np.int64) for t in texts]
-        leaf = self.leaf[np.array([*(ids[0] for ids in sub.of(list(place))), self.end])]
+        place = Places()
+        at = [place.of(words_of(t)) for t in texts]
+        ids, size = sub.of(list(place))
+        leaf = self.leaf[np.append(ids[np.cumsum(size) - size], self.end)]
         stop = np.cumsum([len(x) + 1 for x in at])
         return leaf[np.concatenate([np.append(x, len(leaf) - 1) for x in at])], np.concatenate([[0], stop[:-1]]), stop
 
@@ -167,16 +184,16 @@ class Scorer:
         batches = (tuple(x[rows] for x in parts) for turn in turns for rows in turn)
         self.model.train(batches, steps or each, rate)
 
-    def score(self, words: list[list[int]], counts: np.ndarray, total: int, distinct: int, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of documents given as places in ``words``, ends included.
+    def score(self, ids: np.ndarray, size: np.ndarray, counts: np.ndarray, total: int, distinct: int, docs: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of documents given as places in the words of ``ids`` and ``size``, ends included.
 
         A word has three probabilities: of its first subword under attention times its spelling, its smoothed share of
         the ``total`` training tokens (as in the base, where all words that training never saw are one), and its share of
         the words before it in the document; it counts with their weighted mean. ``counts`` has the training counts of the
         words, then of the end.
         """
-        first = np.array([*(w[0] for w in words), self.end], np.int64)
-        rest = np.append(self.spelling.rest(words, counts[:-1]), 0.0) + self.share[first]
+        first = np.append(ids[np.cumsum(size) - size], self.end)
+        rest = np.append(self.spelling.rest_of(ids, size, counts[:-1]), 0.0) + self.share[first]
         leaf, plain = self.leaf[first], (counts + 1) / (total + distinct + 1)
         out, i = [], 0
         while i < len(docs):
@@ -184,7 +201,7 @@ class Scorer:
             while j < len(docs) and (j == i or n + len(docs[j]) <= PIECE):
                 n += len(docs[j]) + 1
                 j += 1
-            at = np.concatenate([np.append(x, len(words)) for x in docs[i:j]])
+            at = np.concatenate([np.append(x, len(size)) for x in docs[i:j]])
             sizes = np.array([len(x) + 1 for x in docs[i:j]])
             stop = np.cumsum(sizes)
             start = stop - sizes
@@ -244,13 +261,14 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
         sub = _subwords(ranks.value)
         counts = np.zeros((4, max(end + 1, 256 * 257)), np.int64)
         for batch in batches:
-            for ids, c in zip(sub.of([w.encode() for w in batch.column("word").to_pylist()]), batch.column("c").to_pylist(), strict=True):
-                counts[0, ids[0]] += c
-                counts[1, ids[0]] += 1
-                for i, j in zip(ids, ids[1:], strict=False):
-                    counts[2, j] += 1
-                    counts[3, sub.last_byte[i] * 257 + sub.first_byte[j]] += 1
-                counts[3, sub.last_byte[ids[-1]] * 257 + 256] += 1
+            ids, size = sub.of([w.encode() for w in batch.column("word").to_pylist()])
+            begin, goes_on = np.cumsum(size) - size, np.ones(len(ids), bool)
+            goes_on[begin] = False
+            np.add.at(counts[0], ids[begin], batch.column("c").to_numpy())
+            np.add.at(counts[1], ids[begin], 1)
+            np.add.at(counts[2], ids[goes_on], 1)
+            after = np.where(np.append(goes_on[1:], False), np.append(sub.first_byte[ids[1:]], 256), 256)
+            np.add.at(counts[3], sub.last_byte[ids] * 257 + after, 1)
         kind, there = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(there), pa.array(counts[kind, there])], names=["kind", "id", "n"])
 
@@ -307,22 +325,16 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
         sub, scorer = _subwords(ranks.value), held.value
-        place = {w.encode(): i for i, w in enumerate(counts.column("word").to_pylist())}
+        place = Places((w.encode(), i) for i, w in enumerate(counts.column("word").to_pylist()))
         known = len(place)
         c = counts.column("c").to_numpy()
         log = np.log10(c + 1.0)
-        at = []
-        for i in range(texts.num_rows):
-            found = words_of(texts.column("text")[i].as_py())
-            for w in found:
-                if w not in place:
-                    place[w] = len(place)
-            at.append(np.fromiter(map(place.__getitem__, found), np.int64, len(found)))
+        at = [place.of(words_of(texts.column("text")[i].as_py())) for i in range(texts.num_rows)]
         n_known = [int((x < known).sum()) for x in at]
         base = [float(log[x[x < known]].sum()) for x in at]
-        ids = sub.of(list(place))
+        ids, size = sub.of(list(place))
         c = np.concatenate([c, np.zeros(len(place) - known), [train_docs]])
-        total = scorer.score(ids, c, n, v, at) if at else np.zeros(0)
+        total = scorer.score(ids, size, c, n, v, at) if at else np.zeros(0)
         return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array([len(x) for x in at], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

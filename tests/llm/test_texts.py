@@ -428,6 +428,55 @@ def test_spelling_is_a_distribution():
     assert 0.97 < (10 ** s.rest(words, counts)).sum() <= 1 + 1e-9
 
 
+def test_subwords_of_words_that_are_encoded_together():
+    """Words have the subwords that each has alone, beside any white space too, and few calls give them."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        sub = lm.Subwords(f.read())
+    words = [w.encode() for w in ["the", "can't", "a\u00a0b", "\u3000", "x\u2028", "\x1c", "'s", "42", "\u00e9t\u00e9!?", "x" * 3000, *(f"w{i}" for i in range(500))]]
+    plain, calls = sub.encoding, []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return plain.encode_ordinary(text)
+
+    sub.encoding = Counted()
+    ids, size = sub.of(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [plain.encode_ordinary(" " + w.decode()) for w in words]
+    assert len(calls) < 12
+    assert [len(x) for x in sub.of([])] == [0, 0]
+
+
+def test_turns_next_to_the_root_and_below():
+    """Each turn of a path is worked out once: TOP at most among the nodes next to the root, the rest by themselves."""
+    from palimpsest.llm import attention as A
+
+    rng = np.random.default_rng(4)
+    m = A.Attention(2.0 ** -np.arange(12))  # paths of 1 to 11 turns
+    m.p["n"] = rng.standard_normal(m.p["n"].shape).astype(np.float32)
+    r, target = rng.standard_normal((50, A.WIDTH)).astype(np.float32), rng.integers(0, 12, 50)
+    *_, t = m.first_turns(r, target)
+    some, *_, first, _, _, below = m.turns(r, target)
+    assert t.shape == (50, A.TOP) and some.tolist() == np.flatnonzero(m.tree.size[target] > A.TOP).tolist()
+    got = np.log1p(np.exp(-t.astype(float))).sum(1)
+    got[some] += np.add.reduceat(np.log1p(np.exp(-below.astype(float))), first)
+    for i, k in enumerate(target):
+        at = m.tree.start[k] + np.arange(m.tree.size[k])
+        logits = m.tree.sign[at] * (m.p["n"][m.tree.node[at]] @ r[i] + m.p["nb"][m.tree.node[at]])
+        assert got[i] == pytest.approx(np.log1p(np.exp(-logits.astype(float))).sum(), rel=1e-4, abs=1e-5)
+
+
+def test_attention_far_from_zero(small):
+    """Large scores of places: exponentials are then taken from the largest that is seen."""
+    m, text, start, stop = small
+    before = m.p
+    m.p = before | {"q": before["q"] * np.float32(60)}
+    got = m.log10(text, start, stop)
+    want = [plain_log10(m, text[a:b], p) for a, b in zip(start, stop, strict=True) for p in range(b - a)]
+    m.p = before
+    assert np.isfinite(got).all() and np.allclose(got, want, atol=2e-3)
+
+
 def test_language_model_beats_the_base(spark):
     """Context tells which of two vocabularies a document is written in; held-out documents too."""
     rnd = random.Random(9)
