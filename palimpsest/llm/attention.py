@@ -112,15 +112,17 @@ class Attention:
             yield np.where(place > 0, text[np.maximum(at - 1, 0)], self.none), there, at[:, _FRESH:], there[:, _FRESH:]
 
     def forward(self, x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Context vectors of the last STRIDE places of windows (windows, WINDOW)."""
+        """Context vectors of the last STRIDE places of windows (windows, WINDOW).
+
+        Queries meet keys, and values the output, by the products of their matrices: inputs need no keys or values of their own.
+        """
         p, m = self.p, len(x)
         z = p["e"].take(x, 0)
         z += p["at"]
-        flat = z.reshape(-1, WIDTH)
-        k, v = ((flat @ p[i]).reshape(m, WINDOW, WIDTH) for i in "kv")
         late = np.ascontiguousarray(z[:, _FRESH:]).reshape(-1, WIDTH)
-        q = (late @ (p["q"] * _F(WIDTH**-0.5))).reshape(m, STRIDE, WIDTH)
-        s = q @ k.transpose(0, 2, 1)
+        qk, vo = (p["q"] @ p["k"].T) * _F(WIDTH**-0.5), p["v"] @ p["o"]
+        q = (late @ qk).reshape(m, STRIDE, WIDTH)
+        s = q @ z.transpose(0, 2, 1)
         if max(s.max(initial=0), -s.min(initial=0)) > 40:  # beyond that, exponentials are taken from the largest that is seen
             s -= np.where(self._seen(there), s, _F(-np.inf)).max(2, keepdims=True)
             np.clip(s, -30, 0, out=s)  # tiny numbers are slow to work with
@@ -128,13 +130,15 @@ class Attention:
         # a place sees itself and what is before it; its own input is always seen
         s *= _PAST if there[:, :_FRESH].all() else self._seen(there)
         s *= 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, _F)).reshape(m, STRIDE, 1)
-        c = (s @ v).reshape(-1, WIDTH)
-        y = late + c @ p["o"]
+        c = (s @ z).reshape(-1, WIDTH)
+        y = c @ vo
+        y += late
         h = y @ p["h"]
         h += p["hb"]
         np.maximum(h, 0, out=h)
-        r = y + h @ p["u"]
-        return r, (x, z, late, q, k, v, s, c, y, h)
+        r = h @ p["u"]
+        r += y
+        return r, (z, late, qk, vo, q, s, c, y, h)
 
     @staticmethod
     def _seen(there: np.ndarray) -> np.ndarray:
@@ -173,10 +177,10 @@ class Attention:
 
     def loss(self, x: np.ndarray, there: np.ndarray, target: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy in nats of the targets that count, and its gradients."""
-        p, m = self.p, len(x)
-        r, (x, z, late, q, k, v, s, c, y, h) = self.forward(x, there)
-        rows = np.flatnonzero(counts.ravel())
-        scored, goal, n = r[rows], target.ravel()[rows], _F(max(1, len(rows)))
+        p = self.p
+        r, (z, late, qk, vo, q, s, c, y, h) = self.forward(x, there)
+        rows = np.flatnonzero(counts)
+        scored, goal, n = r.take(rows, 0), target.ravel().take(rows), _F(max(1, len(rows)))
         top, at, sign, t = self.first_turns(scored, goal)
         odds = np.exp(-t)
         value = np.log(1 + odds).sum(dtype=np.float64)
@@ -186,39 +190,39 @@ class Attention:
         some, node, sign, first, of, mine, t = self.turns(scored, goal)
         odds = np.exp(-t)
         value += np.log(1 + odds).sum(dtype=np.float64)
-        value = float(value / n)
         deep = -sign * odds / (1 + odds) / n
         mine *= deep[:, None]
         of *= deep[:, None]
         g["n"] = _scatter(node, mine, len(p["n"]))
         g["nb"] = np.bincount(node, deep, len(p["nb"])).astype(_F)
         g["n"][self.tree.top] += (d.T @ scored)[:-1]
-        g["nb"][self.tree.top] += d.sum(0)[:-1]
+        g["nb"][self.tree.top] += (np.ones(len(rows), _F) @ d)[:-1]
+        own = d @ top
+        own[some] += _by_run(of, first)
         dr = np.zeros_like(r)
-        dr[rows] = d @ top
-        if len(some):
-            dr[rows[some]] += np.add.reduceat(of, first)
+        dr[rows] = own
         g["u"] = h.T @ dr
-        dh = (dr @ p["u"].T) * (h > 0)
-        g["h"], g["hb"] = y.T @ dh, dh.sum(0)
-        dy = dr + dh @ p["h"].T
-        g["o"] = c.T @ dy
-        dc = (dy @ p["o"].T).reshape(m, STRIDE, WIDTH)
-        ds = dc @ v.transpose(0, 2, 1)
-        dv = (s.transpose(0, 2, 1) @ dc).reshape(-1, WIDTH)
-        ds -= np.einsum("pd,pd->p", dc.reshape(-1, WIDTH), c).reshape(m, STRIDE, 1)
+        dh = dr @ p["u"].T
+        dh *= h > 0
+        g["h"], g["hb"] = y.T @ dh, np.ones(len(dh), _F) @ dh
+        dy = dh @ p["h"].T
+        dy += dr
+        dvo = c.T @ dy
+        g["v"], g["o"] = dvo @ p["o"].T, p["v"].T @ dvo
+        dc = (dy @ vo.T).reshape(q.shape)
+        ds = dc @ z.transpose(0, 2, 1)
+        ds -= np.einsum("pd,pd->p", dc.reshape(-1, WIDTH), c).reshape(len(q), STRIDE, 1)
         ds *= s
-        dk = (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        dq = (ds @ k).reshape(-1, WIDTH) * _F(WIDTH**-0.5)
-        flat = z.reshape(-1, WIDTH)
-        g["q"], g["k"], g["v"] = late.T @ dq, flat.T @ dk, flat.T @ dv
-        dz = dk @ p["k"].T
-        dz += dv @ p["v"].T
-        dz = dz.reshape(m, WINDOW, WIDTH)
-        dz[:, _FRESH:] += (dy + dq @ p["q"].T).reshape(m, STRIDE, WIDTH)
+        dq = (ds @ z).reshape(-1, WIDTH)
+        dqk = late.T @ dq * _F(WIDTH**-0.5)
+        g["q"], g["k"] = dqk @ p["k"], dqk.T @ p["q"]
+        dy += dq @ qk.T
+        dz = s.transpose(0, 2, 1) @ dc
+        dz += ds.transpose(0, 2, 1) @ q
+        dz[:, _FRESH:] += dy.reshape(q.shape)
         g["at"] = dz.sum(0)
         g["e"] = _scatter(x.ravel(), dz.reshape(-1, WIDTH), len(p["e"]))
-        return value, g
+        return float(value / n), g
 
     def train(self, batches: Iterator[tuple[np.ndarray, ...]], steps: int, rate: float) -> None:
         """A step of Adam for each batch (inputs, there, targets, which count); the rate falls over ``steps``."""
@@ -243,13 +247,13 @@ class Attention:
 
     def log10(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """log10 probability of each leaf of the texts text[start:stop], which make up ``text``."""
-        out = np.zeros(len(text), _F)
+        out, one = np.zeros(len(text), _F), np.ones(TOP, _F)
         for x, there, at, counts in self.inputs(text, start, stop):
             r, _ = self.forward(x, there)
-            rows = np.flatnonzero(counts.ravel())
-            where = at.ravel()[rows]
-            scored, goal = r[rows], text[where]
-            own = np.log(1 + np.exp(-self.first_turns(scored, goal)[-1])).sum(1)
+            rows = np.flatnonzero(counts)
+            where = at.ravel().take(rows)
+            scored, goal = r.take(rows, 0), text.take(where)
+            own = np.log(1 + np.exp(-self.first_turns(scored, goal)[-1])) @ one
             some, _, _, first, _, _, t = self.turns(scored, goal)
             if len(some):
                 own[some] += np.add.reduceat(np.log1p(np.exp(-t)), first)
@@ -260,9 +264,22 @@ class Attention:
 _PAST = (np.arange(WINDOW) <= np.arange(STRIDE)[:, None] + _FRESH).astype(_F)
 
 
+def _by_run(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows that begin at ``first``; runs are few rows long."""
+    size = np.diff(np.append(first, len(rows)))
+    out = rows.take(first, 0)
+    for i in range(1, int(size.max(initial=0))):
+        longer = np.flatnonzero(size > i)
+        out[longer] += rows.take(first[longer] + i, 0)
+    return out
+
+
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by place."""
-    out = np.empty((n, rows.shape[1]), _F)
-    for d, column in enumerate(np.ascontiguousarray(rows.T)):
-        out[:, d] = np.bincount(at, column, n)
+    """Sums of rows by place, of n places."""
+    out = np.zeros((n, rows.shape[1]), _F)
+    order = np.argsort(at.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")  # short integers sort by digits
+    at = at.take(order)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    if len(first):
+        out[at[first]] = np.add.reduceat(rows.take(order, 0), first)
     return out

@@ -13,13 +13,13 @@ from __future__ import annotations
 import base64
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +35,26 @@ FIRST, RATE, MIXED = 0.01, 0.004, 1_000_000
 MIX, RECENT = 0.9, 0.05
 #: Distinct words that are encoded together, weights in one row, words that are scored in one go.
 TOGETHER, PART, PIECE = 10_000, 8192, 200_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Words whose leaves a task keeps.
+MET = 400_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_LOWER).split()  # splits at 0x20 and 0x09-0x0D
+def split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of texts, one text after another, by number in the order they come, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))  # at 0x20 and 0x09-0x0D
+    flat = parts.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)  # texts that begin or end with white space have empty parts there
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    stop = np.cumsum(pc.list_value_length(parts).to_numpy())
+    return flat.filter(there).dictionary_encode(), np.diff(before[stop], prepend=0)
 
 
-class Places(dict[bytes, int]):
-    """Words by number, in the order they come."""
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def words_of(text: str | None) -> list[bytes]:
+    return _bytes(split(pa.array([text], pa.string()))[0].dictionary_decode())
 
 
 class Subwords:
@@ -70,11 +74,12 @@ class Subwords:
         """Ids of the words, one word after another, and how many each has."""
         text = [w.decode() for w in words]
         # a space goes with the word after it, so words split as they would alone; not so beside other white space
-        alone = [i for i, t in enumerate(text) if t.split() != [t]]
+        alone = [] if " ".join(text).split() == text else [i for i, t in enumerate(text) if t.split() != [t]]
         cuts = sorted({*range(0, len(words), TOGETHER), len(words), *alone, *(i + 1 for i in alone)})
         ids, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in pairwise(cuts):
-            got = np.array(self.encoding.encode_ordinary(f" {' '.join(text[a:b])}"), np.int64)
+            got = self.encoding.encode_ordinary(f" {' '.join(text[a:b])}")
+            got = np.fromiter(got, np.int64, len(got))
             stop = np.searchsorted(np.cumsum(self.size[got]), np.cumsum([len(w) + 1 for w in words[a:b]])) + 1
             ids.append(got)
             size.append(np.diff(stop, prepend=0))
@@ -90,20 +95,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, bounds in groups(batches, ["block"]):
         text, out, block = table.column("text"), table.column("held_out"), table.column("block")
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            counts: Counter[bytes] = Counter()
-            seen: set[bytes] = set()
-            for i in range(a, b):
-                words = words_of(text[i].as_py())
-                if out[i].as_py():
-                    seen.update(words)
-                else:
-                    counts.update(words)
-            words = [*counts, *(seen - counts.keys())]
-            n = np.zeros(len(words), np.int64)
-            n[: len(counts)] = [*counts.values()]
+            coded, size = split(text.slice(a, b - a).combine_chunks())
+            learned = np.repeat(~out.slice(a, b - a).to_numpy(), size)
+            words = coded.dictionary
+            n = np.bincount(coded.indices.to_numpy()[learned], minlength=len(words))
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block[a].as_py(), np.int32)), pa.array(part, pa.binary()).cast(pa.string()), pa.array(n[i : i + 50_000])], names=["block", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block[a].as_py(), np.int32)), part, pa.array(n[i : i + 50_000], pa.int64())], names=["block", "word", "n"])
 
 
 def _earlier(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -117,6 +115,11 @@ def _earlier(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _inner(size: np.ndarray) -> np.ndarray:
+    """Places of the words of texts with ``size`` words each, where each text has one more place at its end."""
+    return np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)
+
+
 class Spelling:
     """Probabilities of a word's further subwords, given its first, from the training words.
 
@@ -164,14 +167,23 @@ class Scorer:
         self.spelling = Spelling(tokens, types, further, joints, first_byte, last_byte)
         self.model = Attention(weight)
 
-    def texts(self, texts: list[str | None], sub: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Leaves of the words of texts, one after another, with an end each; where texts start and stop."""
-        place = Places()
-        at = [place.of(words_of(t)) for t in texts]
-        ids, size = sub.of(list(place))
-        leaf = self.leaf[np.append(ids[np.cumsum(size) - size], self.end)]
-        stop = np.cumsum([len(x) + 1 for x in at])
-        return leaf[np.concatenate([np.append(x, len(leaf) - 1) for x in at])], np.concatenate([[0], stop[:-1]]), stop
+    def texts(self, texts: pa.Array, sub: Subwords, met: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves of the words of texts, one after another, with an end each; where texts start and stop.
+
+        ``met`` keeps leaves of words for the next texts.
+        """
+        coded, size = split(texts)
+        words = _bytes(coded.dictionary)
+        if len(met) > MET:
+            met.clear()
+        new = [w for w in words if w not in met]
+        ids, n = sub.of(new)
+        met.update(zip(new, self.leaf[ids[np.cumsum(n) - n]].tolist(), strict=True))
+        leaf = np.fromiter(map(met.__getitem__, words), np.int32, len(words))
+        stop = np.cumsum(size + 1)
+        out = np.full(stop[-1] if len(stop) else 0, self.leaf[self.end], np.int32)
+        out[_inner(size)] = leaf[coded.indices.to_numpy()]
+        return out, stop - size - 1, stop
 
     def learn(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float, steps: int | None = None, seed: int = 6) -> None:
         """Steps over every window of ``texts``, in mixed order: once, or until there were ``steps``."""
@@ -261,7 +273,7 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
         sub = _subwords(ranks.value)
         counts = np.zeros((4, max(end + 1, 256 * 257)), np.int64)
         for batch in batches:
-            ids, size = sub.of([w.encode() for w in batch.column("word").to_pylist()])
+            ids, size = sub.of(_bytes(batch.column("word")))
             begin, goes_on = np.cumsum(size) - size, np.ones(len(ids), bool)
             goes_on[begin] = False
             np.add.at(counts[0], ids[begin], batch.column("c").to_numpy())
@@ -285,10 +297,11 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text a stretch, wherever its hash says."""
+        met: dict[bytes, int] = {}
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                leaf, _, _ = held.value.texts([text], _subwords(ranks.value))
+            for i in range(batch.num_rows):
+                leaf, _, _ = held.value.texts(batch.column("text").slice(i, 1), _subwords(ranks.value), met)
                 at = zlib.crc32(leaf.tobytes()) % max(1, len(leaf) - EACH + 1)
                 out.append(leaf[at : at + EACH])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["w"])
@@ -307,10 +320,11 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = None, 0
+        met: dict[bytes, int] = {}
         for batch in batches:
             for part in chunks(batch, "text", MIXED):
                 own = own or pickle.loads(pickle.dumps(held.value))
-                texts = own.texts(part.column("text").to_pylist(), _subwords(ranks.value))
+                texts = own.texts(part.column("text"), _subwords(ranks.value), met)
                 own.learn([texts], RATE)
                 n += len(texts[0])
         if n:
@@ -325,15 +339,19 @@ def score(docs: DataFrame, rank_path: str | None = None, fold: int = 7, block_by
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
         sub, scorer = _subwords(ranks.value), held.value
-        place = Places((w.encode(), i) for i, w in enumerate(counts.column("word").to_pylist()))
-        known = len(place)
+        word = counts.column("word").combine_chunks()
+        known = len(word)
         c = counts.column("c").to_numpy()
         log = np.log10(c + 1.0)
-        at = [place.of(words_of(texts.column("text")[i].as_py())) for i in range(texts.num_rows)]
+        coded, n_words = split(texts.column("text").combine_chunks())
+        place = pc.fill_null(pc.index_in(coded.dictionary, word), -1).to_numpy().astype(np.int64)
+        others = np.flatnonzero(place < 0)
+        place[others] = known + np.arange(len(others))
+        at = np.split(place[coded.indices.to_numpy()], np.cumsum(n_words)[:-1]) if len(n_words) else []
         n_known = [int((x < known).sum()) for x in at]
         base = [float(log[x[x < known]].sum()) for x in at]
-        ids, size = sub.of(list(place))
-        c = np.concatenate([c, np.zeros(len(place) - known), [train_docs]])
+        ids, size = sub.of(_bytes(word) + _bytes(coded.dictionary.take(pa.array(others))))
+        c = np.concatenate([c, np.zeros(len(others)), [train_docs]])
         total = scorer.score(ids, size, c, n, v, at) if at else np.zeros(0)
         return pa.table([texts.column("doc_id"), texts.column("held_out"), pa.array([len(x) for x in at], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 

@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -447,6 +448,51 @@ def test_subwords_of_words_that_are_encoded_together():
     assert [len(x) for x in sub.of([])] == [0, 0]
 
 
+def test_words_of_many_texts_at_once():
+    """Words are split and lowered as bytes are, and texts keep theirs, also in slices and between blank ones."""
+    rnd = random.Random(8)
+    texts = [None, "", " ", "A", " \x0b a\x0cB ", "\u00c9T\u00c9 \u0130I\x1cx\x85y\u00a0z\u2028Q\x00", *("".join(rnd.choices("aAbZ\u00e9\u00c9 \t\n\x1f\u3000", k=rnd.randrange(30))) for _ in range(300)), " "]
+    want = [bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() for t in texts]
+    for a, b in ((0, len(texts)), (3, 50), (1, 3), (5, 5)):
+        coded, size = lm.split(pa.array(texts, pa.string()).slice(a, b - a))
+        assert size.tolist() == [len(w) for w in want[a:b]]
+        assert [w.encode() for w in coded.to_pylist()] == [x for w in want[a:b] for x in w]
+        assert len(set(coded.dictionary.to_pylist())) == len(coded.dictionary)
+    assert [lm.words_of(t) for t in texts] == want
+
+
+def test_leaves_of_words_met_before(monkeypatch):
+    """A word is encoded once a task as long as its leaf is kept; leaves are the same when it isn't."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        sub = lm.Subwords(f.read())
+    n, asked, plain = sub.end + 1, [], sub.of
+    scorer = lm.Scorer(np.arange(n) % 97.0, np.ones(n), np.ones(n), np.ones((256, 257)), sub.first_byte, sub.last_byte)
+    monkeypatch.setattr(sub, "of", lambda words: (asked.extend(words), plain(words))[1])
+    texts, met = pa.array(["The cat sat", None, "the mat ", " the CAT"]), {}
+    leaf, start, stop = scorer.texts(texts, sub, met)
+    alone = [[*(scorer.leaf[plain([w])[0][0]] for w in lm.words_of(t)), scorer.leaf[sub.end]] for t in texts.to_pylist()]
+    assert [leaf[a:b].tolist() for a, b in zip(start, stop, strict=True)] == alone
+    assert asked == [b"the", b"cat", b"sat", b"mat"]
+    assert scorer.texts(texts, sub, met)[0].tolist() == leaf.tolist() and len(asked) == 4
+    monkeypatch.setattr(lm, "MET", 3)
+    assert scorer.texts(texts, sub, met)[0].tolist() == leaf.tolist() and len(asked) == 8
+
+
+def test_sums_of_rows_by_place_and_by_run():
+    from palimpsest.llm import attention as A
+
+    rng = np.random.default_rng(7)
+    for n, rows in ((5, 200), (70_000, 300), (4, 0)):
+        at, x = rng.integers(0, n, rows).astype(np.int32), rng.standard_normal((rows, 3)).astype(np.float32)
+        want = np.zeros((n, 3))
+        np.add.at(want, at, x)
+        assert np.allclose(A._scatter(at, x, n), want, atol=1e-4)
+    first = np.array([0, 1, 5, 6, 13])
+    x = rng.standard_normal((15, 3)).astype(np.float32)
+    assert np.allclose(A._by_run(x, first), np.add.reduceat(x, first), atol=1e-5)
+    assert A._by_run(x[:0], first[:0]).shape == (0, 3)
+
+
 def test_turns_next_to_the_root_and_below():
     """Each turn of a path is worked out once: TOP at most among the nodes next to the root, the rest by themselves."""
     from palimpsest.llm import attention as A
