@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import code, text
 from ..operators import annotate, canonical, diffing, search, versions
 from ..sources import markdown, metadata, openapi, pysource
-from ..sources.tables import json_rows, table
+from ..sources.tables import json_rows, spread, table
 
 from .catalog import build_items
 from .queries import query
@@ -21,6 +21,11 @@ def _filled(template: str) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("<k>"), F.col("p_partkey").cast("string")), F.lit("<n>"), F.col("p_name"))
 
 
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    """What templates are filled with; dealt out before they are filled, while the rows are small."""
+    return spread(table(s, d, "part").select("p_partkey", "p_name"))
+
+
 def _files(s: SparkSession, d: str, template: str, file: str = "a.md", fork: str = "v1") -> DataFrame:
     return table(s, d, "part").select(_filled(template).alias("content"), F.lit(fork).alias("fork"), F.lit(file).alias("file"))
 
@@ -139,7 +144,7 @@ ITEM = "post:\n  operationId: post<k>\n  requestBody:\n    content:\n      text/
 
 def _documents(s: SparkSession, d: str, root: str, **files: str) -> DataFrame:
     pairs = [x for f, t in files.items() for x in (F.lit(f.replace("__", "/").replace("_", ".")), _filled(t))]
-    return table(s, d, "part").select(F.lit("api").alias("spec"), F.lit(root).alias("root"), F.lit("deneb").alias("fork"), F.create_map(*pairs).alias("files"))
+    return _parts(s, d).select(F.lit("api").alias("spec"), F.lit(root).alias("root"), F.lit("deneb").alias("fork"), F.create_map(*pairs).alias("files"))
 
 
 @query("""select 'GET /eth/v1/beacon/b' || p_partkey || '/{id}' as key, 'GET' as method, 'get' || p_partkey as operation_id, 'Get ' || p_name as summary, 'beacon' as domain, 'id:path:string:true|n:query:List[Slot]:false' as parameters, 'bellatrix=Bellatrix.Bid,deneb=Deneb.Bid' as variants, 'application/json' as requests, 'application/json,application/octet-stream' as responses, true as ssz_support, true as has_examples, '404:no ' || p_name as errors, 'root.yaml' as source_file from part

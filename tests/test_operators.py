@@ -115,6 +115,29 @@ def test_openapi(spark):
     assert m.domain == "engine" and m.tags == ["shanghai"] and m.parameters[0].type == "Array[string]" and m.result_type == "A | null"
 
 
+def test_json_is_read_as_yaml_reads_it(spark, monkeypatch):
+    odd = ['{"a": 1e5, "b": 1.5e3, "c": 1.5e+3, "d": -0, "e": NaN}', '{"a"\n: 1}', '{"a" : "x?y", "a": {"<<": {"b": "\\/"}}}', '{"\\ud83d\\ude00": 1}', '{"a":\t1}', '{"' + "k" * 1100 + '": 1}', '{"a": "\x85"}', "[]", '["é", null, true, 12]', '{"a": 1} x', "a: [1, 2]\n"]
+    import yaml
+
+    for text in odd:
+        try:
+            want = yaml.safe_load(text) or {}
+        except yaml.YAMLError:
+            want = {}
+        assert openapi.load(text) == want, text
+    read = []
+    monkeypatch.setattr(yaml, "safe_load", read.append)
+    assert openapi.load('{"components": {"schemas": {"T": {"type": "string", "title": "is it?"}}}}')["components"] and not read
+
+
+def test_narrow_rows_are_dealt_out(spark):
+    from palimpsest.plans import made
+
+    df = made._documents(spark, "/root/testdata/sf0.001", "t.yaml", t_yaml=made.SCHEMAS)
+    sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_metadata(spark):
     one = lambda t: spark.createDataFrame([(t,)], "t string").select(metadata.frontmatter("t").alias("m")).first().m
     assert one("---\neip: 1\ntitle: a: b\n---\nx: y") == {"eip": "1", "title": "a: b"} and one("no block") == {} and one("---\na: 1\n") == {}
