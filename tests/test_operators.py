@@ -130,6 +130,21 @@ def test_json_is_read_as_yaml_reads_it(spark, monkeypatch):
     assert openapi.load('{"components": {"schemas": {"T": {"type": "string", "title": "is it?"}}}}')["components"] and not read
 
 
+def test_yaml_is_read_as_pyyaml_reads_it(monkeypatch):
+    import yaml
+
+    odd = ["a:\t1", "a: {b: c?d}", "a: [x ?y]", "a: x?y\nb: [1]", "\n\ufeffa: 1", "a: \u2028\ufeffb", "%YAML 1.3\n---\na: 1", "é" * 1025 + ": 1", "a: &x {b: 1}\nc: {<<: *x}", "a: |\n  x?\n  [y]\n", "a: b: c", "a: '\x00'", ""]
+    for text in odd:
+        try:
+            want = yaml.safe_load(text) or {}
+        except yaml.YAMLError:
+            want = {}
+        assert openapi.load(text) == want, text
+    read = []
+    monkeypatch.setattr(yaml, "safe_load", read.append)
+    assert openapi.load("- name: eth_get\n  summary: is it [a] name\n  params: []\n")[0]["params"] == [] and not read
+
+
 def test_narrow_rows_are_dealt_out(spark):
     from palimpsest.plans import made
 
