@@ -19,12 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows, dealt out evenly over four tasks a core at least.
+    """The same rows, dealt out evenly over four tasks a core (32 at least, as executors may still be starting).
 
     Files are cut by bytes: narrow rows lie in one or few splits, however long each takes in the parser that they go to.
     """
-    spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, 32))
 
 
 def work_dir(spark: SparkSession) -> str:

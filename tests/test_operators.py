@@ -145,6 +145,14 @@ def test_yaml_is_read_as_pyyaml_reads_it(monkeypatch):
     assert openapi.load("- name: eth_get\n  summary: is it [a] name\n  params: []\n")[0]["params"] == [] and not read
 
 
+def test_a_file_that_many_paths_refer_to_is_read_once(monkeypatch):
+    read, load = [], openapi.load
+    monkeypatch.setattr(openapi, "load", lambda t: read.append(t) or load(t))
+    root = "paths:\n" + "".join(f"  /p{i}: {{$ref: all.yaml}}\n" for i in range(50)) + "  /none: {$ref: missing.yaml}\n"
+    rows = list(openapi.parse({"root.yaml": root, "all.yaml": "get: {operationId: x}\nparameters: [{name: q, in: query}]\n"}, "root.yaml"))
+    assert [r[0] for r in rows] == [f"GET /p{i}" for i in range(50)] and all(len(r[8]) == 1 for r in rows) and len(read) == 3
+
+
 def test_narrow_rows_are_dealt_out(spark):
     from palimpsest.plans import made
 
