@@ -153,6 +153,14 @@ def test_a_file_that_many_paths_refer_to_is_read_once(monkeypatch):
     assert [r[0] for r in rows] == [f"GET /p{i}" for i in range(50)] and all(len(r[8]) == 1 for r in rows) and len(read) == 3
 
 
+def test_type_versions_parse_once(spark):
+    texts = {"v1": "{A: {type: string}, ~: {type: string}}", "v2": "{A: {type: string}, B: {type: string}}"}
+    docs = spark.createDataFrame([("api", "t.yaml", fork, {"t.yaml": t}) for fork, t in texts.items()], "spec string, root string, fork string, files map<string,string>")
+    rows = openapi.type_versions(openapi.extract(docs, "types").withColumn("seq", F.substring("fork", 2, 1).cast("int")), "seq")
+    assert sorted((r.name, r.fork, r.is_new, r.is_modified) for r in rows.collect()) == [("A", "v1", True, False), ("A", "v2", False, True), ("B", "v2", True, False)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
 def test_narrow_rows_are_dealt_out(spark):
     from palimpsest.plans import made
 
