@@ -27,7 +27,7 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _files(s: SparkSession, d: str, template: str, file: str = "a.md", fork: str = "v1") -> DataFrame:
-    return table(s, d, "part").select(_filled(template).alias("content"), F.lit(fork).alias("fork"), F.lit(file).alias("file"))
+    return _parts(s, d).select(_filled(template).alias("content"), F.lit(fork).alias("fork"), F.lit(file).alias("file"))
 
 
 def _joined(array: str, *names: str) -> Column:

@@ -99,6 +99,18 @@ def test_python_source(spark):
     assert got[0].docstring == "Most of it." and got[2].fields[0].comment == "a field" and got[3].eips == [4844]
 
 
+def test_python_source_is_split_once_and_cut_as_ast_cuts_it(monkeypatch):
+    import ast
+
+    source = 'A = 1; LIMIT: int = "é" ; B = x.y.z\r\nclass É(Base):\r    """ü"""\n    a: x.y[z]; b: Tuple[int, ...]\n    """é"""\n\x0c\nC = List[\n  "é",\n  b]\n'
+    want = [ast.get_source_segment(source, n) for n in ast.parse(source).body]
+    monkeypatch.setattr(ast, "get_source_segment", None)
+    got = list(pysource.parse(source, "v1", "m.py"))
+    assert [r[5] for r in got] == [want[0], want[1], want[2], "\n".join(source.split("\n")[2 - 1 : 5]), want[4]]
+    assert [f["type"] for f in got[3][9]] == ["x.y[z]", "Tuple[int, ...]"] and got[4][8] == want[4][4:]
+    assert list(pysource.parse(None, "v1", "m.py")) == []
+
+
 def test_openapi(spark):
     root = {"paths": {"/eth/v1/x/{id}": {"get": {"operationId": "getX", "summary": "s", "parameters": [{"name": "id", "in": "path", "required": True, "schema": {"type": "string"}}], "responses": {"200": {"content": {"application/json": {"schema": {"anyOf": [{"$ref": "#/c/Bellatrix.Bid"}, {"$ref": "#/c/Deneb.Bid"}]}}, "application/octet-stream": {}}}, "404": {"description": "none"}}}}, "/y": {"$ref": "./y.yaml"}, "/z": {"$ref": "missing.yaml"}}}
     files = {"root.yaml": json.dumps(root), "y.yaml": "post:\n  operationId: postY\n  responses: {}\n"}
@@ -164,9 +176,10 @@ def test_type_versions_parse_once(spark):
 def test_narrow_rows_are_dealt_out(spark):
     from palimpsest.plans import made
 
-    df = made._documents(spark, "/root/testdata/sf0.001", "t.yaml", t_yaml=made.SCHEMAS)
-    sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
-    assert len(sizes) >= 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    d = "/root/testdata/sf0.001"
+    for df in (made._documents(spark, d, "t.yaml", t_yaml=made.SCHEMAS), made._files(spark, d, made.TABLES)):
+        sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) >= 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
 def test_metadata(spark):
