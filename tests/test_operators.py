@@ -92,6 +92,17 @@ def test_markdown(spark):
     assert got[2].prose == "Some prose." and got[1].value == "2**64 - 1" and got[2].section_path == ["Spec", "Containers", "`State`"]
 
 
+def test_markdown_of_very_many_blocks():
+    import time
+
+    n = 30_000
+    text = "# T\n\n## Helpers\ntext\n" + "".join(f"```python\ndef f{i}(): pass\n```\n" for i in range(n))
+    start = time.process_time()
+    got = list(markdown.parse(text, "v1", "a.md"))
+    assert [(r[3], r[11]) for r in got] == [(f"f{i}", 6 + 3 * i) for i in range(n)]
+    assert time.process_time() - start < 5  # lines before each block were counted from the start: 30000 x 1 MB
+
+
 def test_python_source(spark):
     source = 'from x import y\nLIMIT: int = 5\n"""Most of it."""\nAlias = y.Thing\n@dataclass\nclass A:\n    """Doc."""\n    f: int\n    """a field"""\ndef g(a: int, *, b=2) -> A:\n    """EIP-4844"""\ndef _p(): pass\n'
     got = pysource.extract(spark.createDataFrame([(source, "v1", "m.py"), ("def (", "v1", "broken.py"), (source, "v1", "utils/u.py")], "content string, fork string, file string")).collect()
